@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.llm import format_dups
+from glyphlake.llm import format_dups, sentences
 from glyphlake.runtime import table
 
 
@@ -20,5 +20,9 @@ def p6_cleaned_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dups.collapse(table(spark, sf_dir, "items"), "item_id", "cleaned_text", ["path", "entity_type"])
 
 
-QUERIES = {"p6_found": p6_found, "p6_counts": p6_counts, "p6_cleaned_counts": p6_cleaned_counts}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p6_found": p6_found, "p6_counts": p6_counts, "p6_cleaned_counts": p6_cleaned_counts, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
