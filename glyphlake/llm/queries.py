@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.llm import format_dups, sentences
+from glyphlake.llm import format_dups, mojibake, sentences
 from glyphlake.runtime import table
 
 
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.find_damaged(table(spark, sf_dir, "items"), "item_id", "raw_original_text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_restored(spark, sf_dir).select("item_id").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dups.copies(table(spark, sf_dir, "items"), "item_id", "original_text", ["path", "entity_type"])
 
@@ -24,5 +32,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p6_found": p6_found, "p6_counts": p6_counts, "p6_cleaned_counts": p6_cleaned_counts, "p9_found": p9_found}
+QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p6_counts": p6_counts, "p6_cleaned_counts": p6_cleaned_counts, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
