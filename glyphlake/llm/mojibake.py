@@ -27,7 +27,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -87,29 +87,35 @@ def tokens(text: str) -> Iterator[str]:
             yield w
 
 
-def count_words(texts: DataFrame) -> np.ndarray:
-    """Frequencies of the units of all texts (one string column), hashed into ``BUCKETS`` counters."""
-    name = texts.columns[0]
+def word_counts(texts: Iterable[str]) -> Counter[str]:
+    """The units of some texts."""
+    whole: Counter[str] = Counter()
+    for t in texts:
+        if not t.isascii():
+            whole.update(WORD.findall(t))
+    units: Counter[str] = Counter()
+    for w, n in whole.items():
+        for u in tokens(w):
+            units[u] += n
+    return units
+
+
+def count_units(texts: DataFrame, *counters: Callable[[Iterable[str]], Counter[str]]) -> np.ndarray:
+    """Frequencies over all texts (one string column), hashed into ``BUCKETS`` counters for each way of counting."""
+    name, size = texts.columns[0], BUCKETS * len(counters)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
+        total = np.zeros(size, dtype=np.int64)
         for pdf in frames:
-            whole: Counter[str] = Counter()
-            for t in pdf[name]:
-                if not t.isascii():
-                    whole.update(WORD.findall(t))
-            units: Counter[str] = Counter()
-            for w, n in whole.items():
-                for u in tokens(w):
-                    units[u] += n
-            for u, n in units.items():
-                total[_bucket(u)] += n
+            for k, counter in enumerate(counters):
+                for u, n in counter(pdf[name]).items():
+                    total[k * BUCKETS + _bucket(u)] += n
         hit = np.flatnonzero(total)
         yield pd.DataFrame({"h": hit.astype("int32"), "n": total[hit]})
 
     parts = texts.where(F.col(name).isNotNull()).mapInPandas(count, "h int, n long")
     sums = parts.groupBy("h").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(BUCKETS, dtype=np.uint32)
+    table = np.zeros(size, dtype=np.uint32)
     table[sums["h"].to_numpy(dtype="int64")] = np.minimum(sums["n"].to_numpy(dtype="int64"), 2**32 - 1)
     return table
 
@@ -291,7 +297,7 @@ def _best(text: str, a: int, b: int, readings: tuple[tuple[str, str], ...], mode
 
 
 R_1252 = tuple(("cp1252", r) for r in SINGLE)
-R_1251 = (("cp1251", "utf-8"), ("cp1251", "gbk"))
+R_1251 = (("cp1251", "utf-8"),)
 R_DOS = (("koi8_r", "cp1251"), ("cp866", "cp1251"), ("koi8_r", "utf-8"), ("cp866", "utf-8"), ("cp437", "utf-8"), ("cp437", "cp1251"))
 R_WIDE = tuple((w, r) for w in ("gbk", "shift_jis", "cp949", "big5") for r in ("utf-8", "cp1251", "shift_jis", "cp949", "gbk", "euc_jp") if w != r)
 UTF8_BYTES = re.compile(rb"(?:[\xe2-\xef][\x80-\xbf]{2}|[\xc3-\xdf][\x80-\xbf]){2,}")
@@ -410,7 +416,7 @@ def restore(text: str, spans: list[tuple[int, int, str | None]]) -> str:
 def find_damaged(df: DataFrame, key: str, text: str) -> DataFrame:
     """``<key>, restored, unrestored``: every row with a damaged stretch, its restored text, and how many stretches stay damaged."""
     rows = df.select(df[key].cast("long").alias("row_id"), df[text].alias("text")).where("row_id is not null and text is not null")
-    shared = df.sparkSession.sparkContext.broadcast(count_words(rows.select("text")))
+    shared = df.sparkSession.sparkContext.broadcast(count_units(rows.select("text"), word_counts))
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(shared.value)

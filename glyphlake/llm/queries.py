@@ -3,11 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphlake.llm import format_dups, mojibake, sentences
+from glyphlake.llm import format_dups, lookalikes, mojibake, sentences
 from glyphlake.runtime import table
 
 
+def _short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the drawings and of the review sheets."""
+    items = table(spark, sf_dir, "items").select(F.lit("items").alias("src_table"), F.col("item_id").alias("row_id"), F.col("original_text").alias("text"))
+    sheets = table(spark, sf_dir, "sheet_rows").select(F.lit("sheet_rows").alias("src_table"), F.col("sheet_row_id").alias("row_id"), F.col("translation").alias("text"))
+    return items.unionByName(sheets)
+
+
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.forms(_short_texts(spark, sf_dir), ["src_table", "row_id"], "text").distinct()
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = lookalikes.forms(_short_texts(spark, sf_dir), ["src_table", "row_id"], "text")
+    return forms.where("changed").select("src_table", "row_id").distinct()
+
+
 def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.find_damaged(table(spark, sf_dir, "items"), "item_id", "raw_original_text")
 
@@ -32,5 +49,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p6_counts": p6_counts, "p6_cleaned_counts": p6_cleaned_counts, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p6_counts": p6_counts, "p6_cleaned_counts": p6_cleaned_counts, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
