@@ -32,7 +32,7 @@ NEWLINE = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 MARKER = regex.compile(r"\s*(?:[-*•‣◦▪·–—]\s+|\(\p{N}{1,3}\)\s*|\(\p{L}\)\s*|（[\p{N}一二三四五六七八九十]{1,3}）|\p{N}{1,3}[)）]\s*|[a-zA-Z]\)\s+|\p{N}{1,3}[.．]\s+(?=\S)|[①-⑳⑴-⒇]|[一二三四五六七八九十]{1,3}、)", V)
 #: Markers that cannot be a part of running text.
 BULLET = regex.compile(r"\s*(?:[-*•‣◦▪]\s+|\(\p{N}{1,3}\)\s|[a-zA-Z]\)\s+)", V)
-CLOSERS = r"(?:[\s  ]?[»]|[\"'”’“)\]」』）》〉】])*+"
+CLOSERS = r"(?:[\s  ]?[»]|[\"'”’“)\]」』）》〉】])*"
 TERMINAL = regex.compile(rf"(?:[.．!?！？。｡…‥।॥؟]+(?:[   ](?=[!?])[!?]+)?){CLOSERS}", V)
 ENDS = regex.compile(rf"[.．!?！？。｡…।॥:：]{CLOSERS}\s*$", V)
 THAI_BLANK = regex.compile(r"(?<=[\p{Thai}\p{N}A-Z])[  ]+(?=\S)", V)
@@ -137,30 +137,39 @@ _SCRIPT = [(regex.compile(p, V), t) for p, t in SCRIPTS]
 
 
 @lru_cache(maxsize=None)
-def _compiled(tables: tuple[str, ...]) -> list[tuple[bool, regex.Pattern, regex.Pattern | None]]:
-    return [(r.verdict, regex.compile(f"(?:{r.before})$", V), regex.compile(r.after, V) if r.after else None) for t in tables for r in CASCADE[t]]
-
-
-#: Characters of context that rules may look at. Rules need a few words, quotations are looked at from their start.
+def _compiled(tables: tuple[str, ...]) -> list[tuple[bool, regex.Pattern]]:
+    """The rules of some tables in order; neighbours of one verdict are one pattern that is matched at the position."""
+    out: list[tuple[bool, list[str]]] = []
+    for r in (r for t in tables for r in CASCADE[t]):
+        if not out or out[-1][0] != r.verdict:
+            out.append((r.verdict, []))
+        out[-1][1].append(f"(?<={r.before})(?={r.after})")
+    return [(verdict, regex.compile("|".join(pairs), V)) for verdict, pairs in out]
+
+
+OTHER_SCRIPT = regex.compile(r"[\p{Thai}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Han}\p{Devanagari}\p{Cyrillic}]", V)
+THAI = regex.compile(r"\p{Thai}", V)
+KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]", V)
+#: Characters before a position in which its script is looked for.
 CONTEXT = 60
 
 
-def _tables(before: str) -> tuple[str, ...]:
+def _tables(text: str, start: int, at: int) -> tuple[str, ...]:
     """The tables of the script that stands before a position."""
+    before = text[max(start, at - CONTEXT) : at]
     for c in reversed(before):
         if c.isalpha():
             for p, t in _SCRIPT:
                 if p.match(c):
-                    return t if t[0] != "zh" or not regex.search(r"[\p{Hiragana}\p{Katakana}]", before) else SCRIPTS[1][1]
+                    return t if t[0] != "zh" or not KANA.search(before) else SCRIPTS[1][1]
             return LATIN
     return LATIN
 
 
-def breaks(text: str, start: int, end: int, at: int, tables: tuple[str, ...] | None = None, back: int | None = None) -> bool:
-    """Whether the sentence ends at the position ``at`` of the unit ``text[start:end]``."""
-    before, after = text[max(start, min(at - CONTEXT, back if back is not None else at)) : at], text[at : min(end, at + CONTEXT)]
-    for verdict, b, a in _compiled(tables or _tables(before)):
-        if b.search(before) and (a is None or a.match(after)):
+def breaks(text: str, end: int, at: int, tables: tuple[str, ...]) -> bool:
+    """Whether a sentence ends at the position ``at`` of a unit that ends at ``end``."""
+    for verdict, pattern in _compiled(tables):
+        if pattern.match(text, at, end):
             return verdict
     return False
 
@@ -244,23 +253,19 @@ NESTED_OPEN = regex.compile(r"[„“«»「『\"(（\[《]", V)
 def _split(text: str, start: int, end: int) -> Iterator[int]:
     """The positions inside a unit at which sentences end."""
     nested = _inside(text, start, end)
+    latin = not OTHER_SCRIPT.search(text, start, end)
     for m in TERMINAL.finditer(text, start, end):
-        at, back = m.end(), None
-        # A closing mark that opens what follows after a blank belongs there.
-        hit = next(((a, b) for a, b in nested if a < m.start() < b), None)
-        if hit:
+        at = m.end()
+        if hit := next(((a, b) for a, b in nested if a < m.start() < b), None):
             if at < hit[1]:
                 continue
-            at, back = max(hit[1], min(at, end)), hit[0] - 4
-        if at < end and breaks(text, start, end, at, back=back):
+            at = max(hit[1], min(at, end))
+        if at < end and breaks(text, end, at, LATIN if latin else _tables(text, start, at)):
             yield at
-    if regex.search(r"\p{Thai}", text[start:end]):
+    if not latin and THAI.search(text, start, end):
         for m in THAI_BLANK.finditer(text, start, end):
-            if not any(a < m.start() < b for a, b in nested):
-                before = text[max(start, m.start() - CONTEXT) : m.start()]
-                near = regex.search(r"\p{Thai}", text[max(start, m.start() - 20) : m.end() + 2])
-                if near and regex.search(r"[\p{Thai}\p{N}A-Z]$", before) and breaks(text, start, end, m.start(), ("th", "all")):
-                    yield m.start()
+            if not any(a < m.start() < b for a, b in nested) and THAI.search(text, max(start, m.start() - 20), min(end, m.end() + 2)) and breaks(text, end, m.start(), ("th", "all")):
+                yield m.start()
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
