@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import format_dups, lookalikes, mojibake, sentences
+from glyphlake.llm import format_dups, language, lookalikes, mojibake, sentences
 from glyphlake.runtime import table
 
 
@@ -16,6 +16,24 @@ def _short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.unionByName(sheets)
 
 
+def _labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts with a language label, and the raw text of those that have one."""
+
+    def of(name: str, key: str, text: str, lang: str, raw: str | None = None) -> DataFrame:
+        return table(spark, sf_dir, name).select(F.lit(name).alias("src_table"), F.col(key).alias("row_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), (F.col(raw) if raw else F.lit(None).cast("string")).alias("raw"))
+
+    return of("items", "item_id", "original_text", "source_lang", "raw_original_text").unionByName(of("sheet_rows", "sheet_row_id", "translation", "translation_lang")).unionByName(of("documents", "doc_id", "text", "lang"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.mislabelled(_labelled_texts(spark, sf_dir), ["src_table", "row_id"], raw="raw")
+
+
+def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(_labelled_texts(spark, sf_dir), ["src_table", "row_id"])
+    return found.select("src_table", "row_id", "seg_no", "lang", F.round("confidence", 4).alias("confidence")).distinct()
+
+
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.forms(_short_texts(spark, sf_dir), ["src_table", "row_id"], "text").distinct()
 
@@ -49,5 +67,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p6_counts": p6_counts, "p6_cleaned_counts": p6_cleaned_counts, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p6_counts": p6_counts, "p6_cleaned_counts": p6_cleaned_counts, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
