@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import format_dups, language, lookalikes, mojibake, sentences
+from glyphlake.llm import format_dups, language, lookalikes, mixing, mojibake, packing, sentences
+from glyphlake.llm.tokens import sized_documents
 from glyphlake.runtime import table
 
 
@@ -63,9 +64,25 @@ def p6_cleaned_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dups.collapse(table(spark, sf_dir, "items"), "item_id", "cleaned_text", ["path", "entity_type"])
 
 
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_limits"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p7_pack(spark, sf_dir))
+
+
+def p8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*mixing.mix(sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets")))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p6_counts": p6_counts, "p6_cleaned_counts": p6_cleaned_counts, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p6_counts": p6_counts, "p6_cleaned_counts": p6_cleaned_counts, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_repeats": p8_repeats, "p8_shares": p8_shares, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
