@@ -114,6 +114,12 @@ def words(unit: str) -> str:
     return " ".join(w for w in _WORD.findall(text.lower()))
 
 
+def worded(text: str) -> str:
+    """The words of a text; empty if it holds only codes, figures and single letters."""
+    w = "" if _ONLY_CODE.fullmatch(_fold(text)) else words(text)
+    return w if any(len(x) > 1 or x > "\u0900" for x in w.split()) else ""
+
+
 class Classifier:
     """Languages of units of text under one dictionary for each language."""
 
@@ -131,9 +137,8 @@ class Classifier:
         shape = _FIGURES.sub("0", unit)
         if shape in self._units:
             return self._units[shape]
-        w = "" if _ONLY_CODE.fullmatch(_fold(unit)) else words(unit)
-        hit = None
-        if any(len(x) > 1 or x > "\u0900" for x in w.split()) and (sizes := self.sizes(w)):
+        w, hit = worded(unit), None
+        if w and (sizes := self.sizes(w)):
             hit = (sizes, len(w), is_sentence(unit, w))
         if len(self._units) < 200_000:
             self._units[shape] = hit

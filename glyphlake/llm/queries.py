@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import format_dups, language, lookalikes, mixing, mojibake, packing, sentences
+from glyphlake.llm import format_dups, language, lookalikes, mixing, mojibake, packing, pairs, sentences
 from glyphlake.llm.tokens import sized_documents
 from glyphlake.runtime import table
 
@@ -52,6 +52,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_restored(spark, sf_dir).select("item_id").distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(table(spark, sf_dir, "sheet_rows"), "sheet_row_id", "source", "translation", "target_lang")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dups.copies(table(spark, sf_dir, "items"), "item_id", "original_text", ["path", "entity_type"])
 
@@ -84,5 +88,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p6_counts": p6_counts, "p6_cleaned_counts": p6_cleaned_counts, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_repeats": p8_repeats, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p6_found": p6_found, "p6_counts": p6_counts, "p6_cleaned_counts": p6_cleaned_counts, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_repeats": p8_repeats, "p8_shares": p8_shares, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
