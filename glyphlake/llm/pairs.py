@@ -6,7 +6,7 @@ The checks are made in this order, and the first that holds is the defect.
 that says that nothing was translated.  ``copy``: the words of the source, in
 another format or after a short lead-in; sources of codes and figures are
 rightly repeated.  ``wrong_language``: the language posteriors of every sentence
-of the translation, by naive Bayes over character 1- to 3-grams, put another
+of the translation, by naive Bayes over character 2- to 5-grams, put another
 language than the asked one first by more than ``SURE`` nats.  ``truncated``:
 the translation breaks off.  The evidence is the likelihood of an end after the
 last characters (end-of-text n-grams of three lengths, with back-off), the
@@ -38,9 +38,11 @@ from glyphlake.llm.placeholders import is_placeholder
 from glyphlake.llm.sentences import sentences
 
 #: Nats by which another language must lead; nats of evidence for a broken-off text.
-SURE, BROKEN = 4.0, 5.0
+SURE, BROKEN = 6.0, 5.0
 #: Hash buckets of a language's n-grams and of the end n-grams.
-GRAMS, ENDS = 1 << 16, 1 << 20
+GRAMS, ENDS = 1 << 18, 1 << 20
+#: Lengths of the n-grams of the language model.
+GRAM_SIZES = (2, 3, 4, 5)
 #: Characters of the end n-grams.
 TAILS = (4, 8, 14)
 
@@ -122,9 +124,9 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _grams(w: str) -> np.ndarray:
-    """Buckets of the character 1- to 3-grams of some words."""
+    """Buckets of the character 2- to 5-grams of some words."""
     codes = _codes(f" {w} ")
-    return np.concatenate([tail_hashes(codes, n, GRAMS)[n - 1 :] for n in (1, 2, 3)])
+    return np.concatenate([tail_hashes(codes, n, GRAMS)[n - 1 :] for n in GRAM_SIZES])
 
 
 def _missing(source: str, text: str) -> int:
