@@ -1 +1 @@
-
+"""Extension: drawings and edits as streams."""
