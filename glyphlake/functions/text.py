@@ -177,4 +177,4 @@ def is_modern_table(version: Column) -> Column:
 
 def output_name(path: Column, suffix: str) -> Column:
     """``name<suffix>.ext`` of a path."""
-    return F.regexp_replace(path, r"(\.[^./\\]*)?$", f"{suffix}$1")
+    return F.regexp_replace(path, r"(?s)^(.*?)(\.[^./\\]*)?$", f"$1{suffix}$2")

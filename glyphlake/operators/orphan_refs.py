@@ -75,8 +75,8 @@ def key_dictionary(parents: DataFrame, ranges: int | None = None) -> DataFrame:
     return parents.withColumn("rng", rng).withColumn("kid", (F.row_number().over(w) - 1).cast("int"))
 
 
-def _word(kid: str) -> list[Column]:
-    return [F.shiftright(kid, 6).alias("word")]
+def _word(kid: str) -> Column:
+    return F.shiftright(kid, 6).alias("word")
 
 
 def _bit(kid: str) -> Column:
@@ -87,7 +87,7 @@ def reference_bitmaps(encoded: DataFrame) -> DataFrame:
     """``rng, word, month, bits`` of the encoded references."""
     return (
         encoded.where("kid is not null and month is not null")
-        .groupBy("rng", *_word("kid"), "month")
+        .groupBy("rng", _word("kid"), "month")
         .agg(F.bit_or(_bit("kid")).alias("bits"))
     )
 
@@ -98,7 +98,7 @@ def parent_bitmaps(dictionary: DataFrame) -> DataFrame:
     Each list has at most one entry per month and per key of the word, so never
     more than 64.
     """
-    d = dictionary.select("rng", *_word("kid"), _bit("kid").alias("bit"), month_no(F.col("loaded_at")).alias("lm"), month_no(F.col("erased_at")).alias("em"))
+    d = dictionary.select("rng", _word("kid"), _bit("kid").alias("bit"), month_no(F.col("loaded_at")).alias("lm"), month_no(F.col("erased_at")).alias("em"))
     both = d.select("rng", "word", "bit", F.explode(F.array(F.struct(F.lit(True).alias("load"), F.col("lm").alias("m")), F.struct(F.lit(False).alias("load"), F.col("em").alias("m")))).alias("e"))
     by_month = both.where("e.m is not null").groupBy("rng", "word", "e.load", "e.m").agg(F.bit_or("bit").alias("bits"))
     entry = F.struct("m", "bits")
@@ -123,9 +123,10 @@ def orphan_references(references: DataFrame, items: DataFrame, ranges: int | Non
 
     ``references`` has ``ref_table, ref_row_id, ref_field, path, handle, at``.
     """
-    dictionary = key_dictionary(parent_keys(items), ranges)
+    # Both the bitmaps and the decoding use the numbers, which must not change between them.
+    dictionary = materialize(key_dictionary(parent_keys(items), ranges))
     encoded = materialize(
-        references.join(dictionary.select("path", "handle", "rng", "kid"), ["path", "handle"], "left").select("ref_table", "ref_row_id", "ref_field", "handle", "at", month_no(F.col("at")).alias("month"), "rng", "kid")
+        references.select("ref_table", "ref_row_id", "ref_field", "path", "handle", "at").join(dictionary.select("path", "handle", "rng", "kid"), ["path", "handle"], "left").select("ref_table", "ref_row_id", "ref_field", "handle", "at", month_no(F.col("at")).alias("month"), "rng", "kid")
     )
     survivors = and_not(reference_bitmaps(encoded), parent_bitmaps(dictionary)).join(dictionary.select("rng", "kid", "loaded_at", "erased_at"), ["rng", "kid"])
     kind = F.when(F.col("erased_at") <= F.col("at"), "deleted").when(F.col("loaded_at") > F.col("at"), "late")
