@@ -37,7 +37,8 @@ LOW44 = (1 << 44) - 1
 
 def normalize(text: Column) -> Column:
     """The content of a text, without case, blanks and punctuation."""
-    folded = F.lower(F.upper(text))
+    # Upper case first, as it spells ß and joined letters out. The optimizer would drop it directly under lower().
+    folded = F.lower(F.concat(F.upper(text), F.lit("")))
     return F.regexp_replace(F.regexp_replace(folded, DROP, "$1$2"), r"(?U)\s+", " ")
 
 
