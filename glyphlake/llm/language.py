@@ -324,7 +324,8 @@ def identify(rows: DataFrame, keys: list[str], cases_only: bool = False, raw: st
                 for k, (x, c) in enumerate(segs):
                     at.append(i), no.append(k + 1), lang.append(x), conf.append(c)
             part = pdf.iloc[at]
-            yield part[keys].assign(seg_no=no, lang=lang, confidence=conf, label=part["label"])
+            # An empty list would become a column of floats, which cannot be sent as strings.
+            yield part[keys].assign(seg_no=no, lang=pd.Series(lang, dtype=object, index=part.index), confidence=conf, label=part["label"])
 
     types = dict(named.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", seg_no int, lang string, confidence double, label string"

@@ -206,7 +206,7 @@ def forms(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
         for pdf in frames:
             out = [model.form(t) for t in pdf["text"]]
             changed = [a != b for a, b in zip(pdf["text"], out)]
-            yield pdf[keys].assign(form=out, changed=changed)
+            yield pdf[keys].assign(form=pd.Series(out, dtype=object, index=pdf.index), changed=changed)
 
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c in keys)
     return rows.mapInPandas(run, f"{schema}, form string, changed boolean")
