@@ -57,8 +57,8 @@ _1251 = "".join(sorted({bytes([b]).decode("cp1251", "ignore") for b in range(0x8
 RUN_1251 = re.compile(f"[{re.escape(_1251)}{LOST}]{{2,}}")
 _DOS = "─│┌┐└┘├┤┬┴┼═║╒╓╔╕╖╗╘╙╚╛╜╝╞╟╠╡╢╣╤╥╦╧╨╩╪╫╬▀▄█▌▐░▒▓■√≈≤≥⌠⌡"
 RUN_DOS = re.compile(f"(?<![\\u0400-\\u045f])[\\u0400-\\u045f{_DOS}{re.escape('°²·÷©№¤')}{LOST}]*[{_DOS}][\\u0400-\\u045f{_DOS}{re.escape('°²·÷©№¤')}{LOST}]*")
-RUN_WIDE = re.compile(f"[{_CJK}！-～　-〿{LOST}‐-⋿①-♯Α-ωЀ-ё]{{2,}}")
-SUSPECT = re.compile(f"[{LOST}\\x80-\\x9f]|[{_HI}][\\x40-\\x7e]?[{_HI}]|[Ѐ-ӿ{_DOS}]|[{_CJK}]{{2}}")
+RUN_WIDE = re.compile(f"[{_CJK}！-～　-〿{LOST}‐-⋿①-♯Α-ωЀ-ё]+")
+SUSPECT = re.compile(f"[{LOST}\\x80-\\x9f]|[{_HI}][\\x40-\\x7e]?[{_HI}]|[Ѐ-ӿ{_DOS}]|[{_CJK}]")
 DAMAGE = re.compile(f"[{LOST}\\x80-\\x84\\x86-\\x9f]")
 
 SINGLE = ("utf-8", "gbk", "shift_jis", "cp949", "euc_jp", "big5", "cp1251", "koi8_r")
@@ -327,6 +327,29 @@ def _wide_parts(run: str) -> Iterator[tuple[int, int]]:
 
 
 HANGUL = re.compile("[가-힣]+")
+CJK_RUN = re.compile(f"[{_CJK}]+")
+#: Wide characters in a row that may be letters of a Latin text.
+LONE = 3
+R_LONE = tuple((w, r) for w in ("gbk", "shift_jis", "cp949", "big5") for r in ("utf-8", "cp1252"))
+#: What a few wide characters can stand for: accented letters with small ones beside them, degrees, signs.
+LATIN_TEXT = re.compile("[a-z]?[À-ÖØ-öø-ɏ]{1,3}[a-z]?|°[CF]?|[±²³½¼¾µ·×]")
+
+
+def _lone(text: str, a: int, b: int, model: Model) -> str | None:
+    """A few wide characters among Latin letters, read as what they spell there."""
+    left, after = _edges(text, a, b)
+    run = text[a:b]
+    if any(x and CJK_RUN.match(x) for x in (text[:a].rstrip()[-1:], text[b : b + 20].lstrip()[:1])):
+        return None
+    best, out = model.score(left + run + after) + MARGIN, None
+    for wrong, right in R_LONE:
+        try:
+            s = run.encode(wrong).decode(right)
+        except UnicodeError:
+            continue
+        if LATIN_TEXT.fullmatch(s) and model.knows(left + s + after) and (v := model.score(left + s + after)) > best:
+            best, out = v, s
+    return out
 
 
 def _wide(text: str, start: int, end: int, model: Model) -> list[tuple[int, int, str]]:
@@ -357,6 +380,12 @@ def damaged(text: str | None, model: Model) -> list[tuple[int, int, str | None]]
         return not any(x < b and a < y for x, y, _ in found)
 
     for m in RUN_WIDE.finditer(text):
+        a, b = m.span()
+        if b - a <= LONE and CJK_RUN.search(m.group()) and (s := _lone(text, a, b, model)):
+            take(a, b, s)
+            continue
+        if b - a == 1:
+            continue
         for a, b, s in _wide(text, *m.span(), model):
             if free(a, b):
                 take(a, b, s)
