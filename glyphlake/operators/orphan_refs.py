@@ -63,8 +63,13 @@ def parent_keys(items: DataFrame) -> DataFrame:
     )
 
 
+def utc_date(col: Column) -> Column:
+    """The UTC date of a time, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(col) / 86400).cast("int"))
+
+
 def month_no(col: Column) -> Column:
-    return F.year(col) * 12 + F.month(col) - 1
+    return F.year(utc_date(col)) * 12 + F.month(utc_date(col)) - 1
 
 
 def key_dictionary(parents: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -132,7 +137,7 @@ def orphan_references(references: DataFrame, items: DataFrame, ranges: int | Non
     kind = F.when(F.col("erased_at") <= F.col("at"), "deleted").when(F.col("loaded_at") > F.col("at"), "late")
     timed = encoded.join(survivors, ["rng", "kid", "month"]).withColumn("kind", kind).where("kind is not null")
     missing = encoded.where("kid is null").withColumn("kind", F.lit("missing"))
-    out = ["ref_table", "ref_row_id", "ref_field", "handle", "kind", F.date_format("at", "yyyy-MM").alias("period")]
+    out = ["ref_table", "ref_row_id", "ref_field", "handle", "kind", F.date_format(utc_date(F.col("at")), "yyyy-MM").alias("period")]
     return missing.select(*out).unionByName(timed.select(*out)).distinct()
 
 
