@@ -57,8 +57,8 @@ _1251 = "".join(sorted({bytes([b]).decode("cp1251", "ignore") for b in range(0x8
 RUN_1251 = re.compile(f"[{re.escape(_1251)}{LOST}]{{2,}}")
 _DOS = "─│┌┐└┘├┤┬┴┼═║╒╓╔╕╖╗╘╙╚╛╜╝╞╟╠╡╢╣╤╥╦╧╨╩╪╫╬▀▄█▌▐░▒▓■√≈≤≥⌠⌡"
 RUN_DOS = re.compile(f"(?<![\\u0400-\\u045f])[\\u0400-\\u045f{_DOS}{re.escape('°²·÷©№¤')}{LOST}]*[{_DOS}][\\u0400-\\u045f{_DOS}{re.escape('°²·÷©№¤')}{LOST}]*")
-RUN_WIDE = re.compile(f"[{_CJK}！-～　-〿{LOST}‐-⋿①-♯Α-ωЀ-ё]+")
-SUSPECT = re.compile(f"[{LOST}\\x80-\\x9f]|[{_HI}][\\x40-\\x7e]?[{_HI}]|[Ѐ-ӿ{_DOS}]|[{_CJK}]")
+RUN_WIDE = re.compile(f"[{_CJK}！-～　-〿{LOST}‐-⋿①-♯︰-﹫Α-ωЀ-ё]+")
+SUSPECT = re.compile(f"[A-Za-z][\\u00a1-\\u024f„”‚‡‰Š‹Œ‘“•–—˜™š›œŸⁿ]|[\\u00a1-\\u024f„”‚‡‰Š‹Œ‘“•–—˜™š›œŸⁿ][A-Za-z]|[{LOST}\\x80-\\x9f]|[{_HI}][\\x40-\\x7e]?[{_HI}]|[Ѐ-ӿ{_DOS}]|[{_CJK}]")
 DAMAGE = re.compile(f"[{LOST}\\x80-\\x84\\x86-\\x9f]")
 
 SINGLE = ("utf-8", "gbk", "shift_jis", "cp949", "euc_jp", "big5", "cp1251", "koi8_r")
@@ -246,13 +246,17 @@ def _bytes(run: str, wrong: str) -> list[int | None] | None:
     return out
 
 
+#: Letters that bytes of another encoding spell by chance.
+STRANGE = re.compile("[\u0250-\u02c5\u02c7-\u02db\u02dd-\u03ff\u0500-\u08ff\u0980-\u0dff]")
+
+
 def _decode(data: list[int | None], right: str, model: Model, left: str, after: str) -> str | None:
     if None not in data:
         try:
             s = bytes(data).decode(right)
         except UnicodeDecodeError:
             return None
-        return None if re.search("[\x00-\x08\x0b-\x1f\x7f-\x9f-]", s) else s
+        return None if STRANGE.search(s) or re.search("[\x00-\x08\x0b-\x1f\x7f-\x9f-]", s) else s
     return viterbi(data, right, model, left, after)
 
 
@@ -285,7 +289,7 @@ def _best(text: str, a: int, b: int, readings: tuple[tuple[str, str], ...], mode
             if data is None or all(x is not None and x < 0x80 for x in data):
                 break
             s2 = _decode(data, right, model, left, after)
-            if s2 is None or s2 == s or (right in ("cp1251", "koi8_r") and not CYRILLIC.fullmatch(s2)):
+            if s2 is None or s2 == s or (right in ("cp1251", "koi8_r", "cp866") and not CYRILLIC.fullmatch(s2)):
                 break
             s = s2
             # Bytes that spell UTF-8 hardly ever do so by chance; other readings must give known units only.
@@ -297,8 +301,8 @@ def _best(text: str, a: int, b: int, readings: tuple[tuple[str, str], ...], mode
 
 
 R_1252 = tuple(("cp1252", r) for r in SINGLE)
-R_1251 = (("cp1251", "utf-8"),)
-R_DOS = (("koi8_r", "cp1251"), ("cp866", "cp1251"), ("koi8_r", "utf-8"), ("cp866", "utf-8"), ("cp437", "utf-8"), ("cp437", "cp1251"))
+R_1251 = (("cp1251", "utf-8"), ("cp1251", "cp866"), ("cp1251", "koi8_r"))
+R_DOS = (("koi8_r", "cp1251"), ("cp866", "cp1251"), ("koi8_r", "utf-8"), ("cp866", "utf-8"), ("cp437", "utf-8"), ("cp437", "cp1251"), ("cp850", "cp1252"), ("cp437", "cp1252"))
 R_WIDE = tuple((w, r) for w in ("gbk", "shift_jis", "cp949", "big5") for r in ("utf-8", "cp1251", "shift_jis", "cp949", "gbk", "euc_jp") if w != r)
 UTF8_BYTES = re.compile(rb"(?:[\xe2-\xef][\x80-\xbf]{2}|[\xc3-\xdf][\x80-\xbf]){2,}")
 
@@ -309,8 +313,8 @@ HAN_PART = re.compile("[一-鿿]+")
 def _wide_parts(run: str) -> Iterator[tuple[int, int]]:
     """Parts of a stretch of wide characters that may be damaged, in characters."""
     yield 0, len(run)
-    if HANGUL.search(run) and not HANGUL.fullmatch(run):
-        yield from (m.span() for m in HAN_PART.finditer(run))
+    if SYLLABLES.search(run) and HAN_PART.search(run):
+        yield from (m.span() for m in HAN_PART.finditer(run) if m.end() - m.start() >= PART)
     for wrong in ("gbk", "shift_jis", "big5", "cp949"):
         if not UTF8_BYTES.search(run.encode(wrong, "replace")):
             continue
@@ -322,11 +326,13 @@ def _wide_parts(run: str) -> Iterator[tuple[int, int]]:
         for m in UTF8_BYTES.finditer(data):
             # The outermost places in the match where characters of both encodings begin.
             starts = [x for x in range(m.start(), m.end() + 1) if (x == m.end() or not 0x80 <= data[x] < 0xC0) and x in where]
-            if len(starts) > 1 and (part := (where[starts[0]], where[starts[-1]])) != (0, len(run)):
+            if len(starts) > 1 and where[starts[-1]] - where[starts[0]] >= PART and (part := (where[starts[0]], where[starts[-1]])) != (0, len(run)):
                 yield part
 
 
-HANGUL = re.compile("[가-힣]+")
+#: Characters that a damaged part of a wide stretch has at least; fewer are too little evidence.
+PART = 3
+SYLLABLES = re.compile("[가-힣ぁ-ヿ]")
 CJK_RUN = re.compile(f"[{_CJK}]+")
 #: Wide characters in a row that may be letters of a Latin text.
 LONE = 3
@@ -359,7 +365,8 @@ def _wide(text: str, start: int, end: int, model: Model) -> list[tuple[int, int,
     if hit is None:
         hit, last = [], 0
         for a, b in _wide_parts(run):
-            if a >= last and (s := _best(run, a, b, R_WIDE, model, MARGIN)):
+            # What stands beside a damaged part is no part of its words.
+            if a >= last and (s := _best(run[a:b], 0, b - a, R_WIDE, model, MARGIN)):
                 hit.append((a, b, s))
                 last = b
         if len(model.runs) < 200_000:
@@ -423,6 +430,9 @@ def damaged(text: str | None, model: Model) -> list[tuple[int, int, str | None]]
     for m in RUN_DOS.finditer(text):
         if free(*m.span()) and (s := _best(text, *m.span(), R_DOS, model, MARGIN)):
             take(*m.span(), s)
+    for m in LATIN_WORD.finditer(text):
+        if free(*m.span()) and (s := _reread(m.group(), model)):
+            take(*m.span(), s)
     for m in DAMAGE.finditer(text):
         if free(*m.span()):
             take(m.start(), m.end(), None)
@@ -432,6 +442,29 @@ def damaged(text: str | None, model: Model) -> list[tuple[int, int, str | None]]
 RUN_CYRILLIC = re.compile("[Ѐ-ё]{3,}(?: [Ѐ-ё]+)*")
 
 
+#: Words with a few characters beyond ASCII among letters, as a page of another system may show them.
+LATIN_WORD = re.compile(f"[A-Za-z]*[\u00a1-\u024f{_DOS}„”‚’‡‰Š‹Œ‘“•–—˜™š›œŸⁿ]+[A-Za-z]+(?:[\u00a1-\u024f{_DOS}„”‚’‡‰Š‹Œ‘“•–—˜™š›œŸⁿ]+[A-Za-z]*)*|[A-Za-z]{{2,}}[\u00a1-\u024f{_DOS}ⁿ]+")
+R_WORD = (("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1250", "cp1252"), ("cp1251", "cp1252"))
+#: A word reread must be so many times as frequent as it stands.
+FREQUENT = 20
+
+
+def _reread(word: str, model: Model) -> str | None:
+    """A word as another single-byte page has it, if the corpus knows that far better than what stands."""
+    stands = model.score(word)
+    for wrong, right in R_WORD:
+        try:
+            s = word.encode(wrong).decode(right)
+        except UnicodeError:
+            continue
+        if s != word and PLAIN_WORD.fullmatch(s) and model.knows(s) and model.score(s) > stands + math.log(FREQUENT):
+            return s
+    return None
+
+
+PLAIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+
+
 def restore(text: str, spans: list[tuple[int, int, str | None]]) -> str:
     """The text with what could be restored put in place."""
     out, at = [], 0
