@@ -27,15 +27,34 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.language import LANGUAGES, _fold, label, worded, words
+from glyphlake.llm import language, sentences as boundaries
+from glyphlake.llm.language import LANGUAGES, _fold, label
 from glyphlake.llm.placeholders import is_placeholder
-from glyphlake.llm.sentences import sentences
+
+
+
+# Several checks ask the same of a text, and texts repeat.
+@lru_cache(maxsize=50_000)
+def worded(text: str) -> str:
+    return language.worded(text)
+
+
+@lru_cache(maxsize=50_000)
+def words(text: str) -> str:
+    return language.words(text)
+
+
+@lru_cache(maxsize=20_000)
+def sentences(text: str) -> list[tuple[int, int]]:
+    return boundaries.sentences(text)
+
 
 #: Nats by which another language must lead; nats of evidence for a broken-off text.
 SURE, BROKEN = 6.0, 5.0
@@ -135,6 +154,7 @@ def _missing(source: str, text: str) -> int:
     return sum(any(len(x) < 12 and int(x) not in have for x in _FIGURE.findall(c)) for c in set(_CODE.findall(_IGNORED.sub("", source))))
 
 
+@lru_cache(maxsize=50_000)
 def _content(text: str) -> float:
     """The length of the words of a text; an ideograph or a syllable counts as three letters."""
     return sum(3.0 if "⺀" <= c <= "鿿" or "가" <= c <= "힣" else 1.6 if "぀" <= c <= "ヿ" else 1.0 for c in words(text) if c != " ")
@@ -200,6 +220,7 @@ class Judge:
         mean = ratios[:, 1] / n
         self.ratio = {x: (mean[i], math.sqrt(max(0.02, ratios[i, 2] / n[i] - mean[i] ** 2))) for i, x in enumerate(LANGUAGES) if ratios[i, 0] > 20}
         self._lead: dict[tuple[str, str], float] = {}
+        self._end: dict[str, float] = {}
 
     def lead(self, w: str, lang: str) -> float:
         """Nats by which the best language leads the asked one for some words."""
@@ -225,11 +246,15 @@ class Judge:
 
     def end(self, text: str) -> float:
         """The probability that a text ends where it does."""
-        codes = _codes(shape(text)[-(TAILS[-1] + 1) :])
-        p = 0.05
-        for i, n in enumerate(TAILS):
-            h = tail_hashes(codes, n)[-1]
-            p = (self.tails[2 * i + 1, h] + 2.0 * p) / (self.tails[2 * i, h] + 2.0)
+        tail = shape(text)[-(TAILS[-1] + 1) :]
+        p = self._end.get(tail)
+        if p is None:
+            codes, p = _codes(tail), 0.05
+            for i, n in enumerate(TAILS):
+                h = tail_hashes(codes, n)[-1]
+                p = (self.tails[2 * i + 1, h] + 2.0 * p) / (self.tails[2 * i, h] + 2.0)
+            if len(self._end) < 200_000:
+                self._end[tail] = p
         return float(p)
 
     def evidence(self, source: str | None, text: str, lang: str | None) -> tuple[float, int, float]:
