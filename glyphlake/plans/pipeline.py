@@ -80,7 +80,7 @@ class Session:
 
     def _write(self, rows: DataFrame, folder: str) -> DataFrame:
         lines, done = W.write_back(self.lines, rows)
-        dxf.write_lines(lines, folder)
+        dxf.write_lines(lines, folder, root=self.path)
         return W.summary(done)
 
     def get_status(self) -> dict[str, Any]:

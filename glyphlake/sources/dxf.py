@@ -8,6 +8,7 @@ ends kept; many files are read in parallel.  ``read_lines`` gives the lines,
 from __future__ import annotations
 
 import codecs
+import os
 import re
 from collections.abc import Iterator
 
@@ -90,14 +91,25 @@ def structure_check(lines: DataFrame) -> DataFrame:
     return lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), (F.count(F.lit(1)) % 2 == 0).alias("even"), F.count_if((F.col("line_no") % 2 == 0) & ~integer).alias("bad_codes"))
 
 
-def write_lines(lines: DataFrame, folder: str, encodings: DataFrame | None = None) -> None:
-    """Write each path's lines as one file of ``folder``, named as the path's last part.
+def read_root(rows: DataFrame, root: str | None = None) -> str:
+    """What to cut from each path of ``rows`` for its name under another folder: ``root`` if all lie in it, else the deepest folder that all share."""
+    first, last = rows.agg(F.min("path"), F.max("path")).first()
+    # All paths lie between the two in order, so what these share all share.
+    shared = os.path.commonprefix([first or "", last or ""])
+    shared = shared[: shared.rfind("/") + 1]
+    if root is not None:
+        scheme = re.match(r"file:(//)?(?=/)", shared)
+        root = (scheme[0] if scheme else "") + os.path.abspath(re.sub(r"^file:(//)?(?=/)", "", root)).rstrip("/") + "/"
+    return root if root is not None and shared.startswith(root) else shared
+
+
+def write_lines(lines: DataFrame, folder: str, encodings: DataFrame | None = None, root: str | None = None) -> None:
+    """Write each path's lines as one file under ``folder``, named by its path from ``root`` (see ``read_root``).
 
     ``encodings`` may give ``path, encoding, newline`` to keep; the default is
     UTF-8 and line feeds.  A path's lines are sorted inside its task.
     """
-    import os
-
+    base = read_root(lines, root)
     rows = lines.select("path", "line_no", "text")
     if encodings is not None:
         rows = rows.join(encodings.select("path", "encoding", "newline"), "path", "left")
@@ -107,8 +119,9 @@ def write_lines(lines: DataFrame, folder: str, encodings: DataFrame | None = Non
     def save(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("line_no")
         path, newline = pdf["path"].iloc[0], pdf["newline"].iloc[0] or "\n"
-        name = os.path.basename(re.sub(r"^file:", "", path))
-        with open(os.path.join(folder, name), "w", encoding=pdf["encoding"].iloc[0] or "utf-8", errors="replace", newline="") as f:
+        name = os.path.join(folder, path[len(base) :].lstrip("/"))
+        os.makedirs(os.path.dirname(name), exist_ok=True)
+        with open(name, "w", encoding=pdf["encoding"].iloc[0] or "utf-8", errors="replace", newline="") as f:
             f.write(newline.join(pdf["text"]) + newline)
         return pd.DataFrame({"path": [path], "lines": [len(pdf)]})
 
@@ -136,8 +149,6 @@ class _DxfReader(DataSourceReader):
         self.fallback = options.get("encoding", FALLBACK)
 
     def partitions(self) -> list[InputPartition]:
-        import os
-
         if os.path.isfile(self.folder):
             return [InputPartition(self.folder)]
         found = [os.path.join(d, n) for d, _, names in os.walk(self.folder) for n in names if n.lower().endswith(".dxf")]

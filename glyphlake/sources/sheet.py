@@ -8,6 +8,7 @@ standard library.  Many workbooks are read in parallel, one task each.
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphlake.sources.dxf import read_root
+
 # Headers of the two layouts, the namespace of sheets.
 RICH_HEADER = ("id", "原文", "翻译", "全部句柄")
 LEGACY_HEADER = ("原文", "译文")
@@ -106,18 +109,18 @@ def workbook(header: tuple[str, ...], rows: list[list[str | None]], hidden: int
     return out.getvalue()
 
 
-def write_workbooks(sheet: DataFrame, folder: str, legacy: bool = False) -> None:
-    """One workbook for each path of the sheet rows, named after its last part; a path's rows are one task."""
-    import os
-
+def write_workbooks(sheet: DataFrame, folder: str, legacy: bool = False, root: str | None = None) -> None:
+    """One workbook for each path of the sheet rows, named by its whole path from ``root`` (see ``read_root``) and ``.xlsx``; a path's rows are one task."""
+    base = read_root(sheet, root)
     columns = ["source", "translation"] if legacy else ["id", "source", "translation", "all_handles"]
 
     def save(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_no")
-        name = re.sub(r"\.[^.]*$", "", os.path.basename(pdf["path"].iloc[0])) + ".xlsx"
+        name = os.path.join(folder, pdf["path"].iloc[0][len(base) :].lstrip("/") + ".xlsx")
+        os.makedirs(os.path.dirname(name), exist_ok=True)
         rows = [[None if pd.isna(v) else str(v) for v in r] for r in pdf[columns].itertuples(index=False)]
         data = workbook(LEGACY_HEADER if legacy else RICH_HEADER, rows, None if legacy else 3)
-        with open(os.path.join(folder, name), "wb") as f:
+        with open(name, "wb") as f:
             f.write(data)
         return pd.DataFrame({"path": pdf["path"].iloc[:1], "rows": [len(pdf)]})
 
