@@ -24,8 +24,13 @@ FALLBACK = "gb18030"
 BINARY_DXF = b"AutoCAD Binary DXF\r\n\x1a\x00"
 DWG = re.compile(rb"^AC1[0-9]{3}|^AC[0-9]{4}")
 
-LINE = re.compile(r"\r\n|\n|\r")
-LINES_SCHEMA = "path string, line_no int, text string"
+LINE, BYTE_LINE = re.compile(r"\r\n|\n|\r"), re.compile(rb"\r\n|\n|\r")
+#: How a line stands in its file: the encoding, whether the file has a byte order mark, the line end, and the line's bytes if its text does not encode to them.
+FORM = ("encoding", "bom", "line_end", "raw")
+LINES_SCHEMA = "path string, line_no int, text string, encoding string, bom boolean, line_end string, raw binary"
+#: Names without a mark of their own, and the marks.
+PLAIN_NAMES = {"utf-8-sig": "utf-8", "utf-16": "utf-16-le"}
+MARKS = {PLAIN_NAMES.get(name, name): bom for bom, name in BOMS}
 
 
 def is_binary(head: bytes) -> bool:
@@ -58,8 +63,56 @@ def split_lines(text: str) -> list[str]:
     return lines[:-1] if lines and lines[-1] == "" else lines
 
 
+def formed_lines(data: bytes, fallback: str = FALLBACK) -> pd.DataFrame:
+    """``text, encoding, bom, line_end, raw`` of the lines of a file, from which ``file_bytes`` makes the same bytes."""
+    name = detect_encoding(data, fallback)
+    name = PLAIN_NAMES.get(name, name)
+    bom = data.startswith(MARKS[name]) if name in MARKS else False
+    body = data[len(MARKS[name]) if bom else 0 :]
+    try:
+        whole = body.decode(name)
+        exact = whole.encode(name) == body
+    except UnicodeError:
+        exact = False
+    if exact:
+        texts, ends = LINE.split(whole), [*LINE.findall(whole), ""]
+        raws: list[bytes | None] = [None] * len(texts)
+    else:
+        if name.startswith("utf-16"):
+            even = len(body) // 2 * 2
+            units = body[:even].decode(name, "surrogatepass")
+            parts, ends = [x.encode(name, "surrogatepass") for x in LINE.split(units)], [*LINE.findall(units), ""]
+            parts[-1] += body[even:]
+        else:
+            # No byte of a line end is a part of a longer character in these encodings.
+            parts, ends = BYTE_LINE.split(body), [x.decode("ascii") for x in BYTE_LINE.findall(body)] + [""]
+        texts = [x.decode(name, "replace") for x in parts]
+        raws = [None if t.encode(name, "replace") == x else x for t, x in zip(texts, parts)]
+    if texts[-1] == "":
+        texts, ends, raws = texts[:-1], ends[:-1], raws[:-1]
+    return pd.DataFrame({"text": texts, "encoding": name, "bom": bom, "line_end": ends, "raw": pd.Series(raws, dtype=object)})
+
+
+def _escaped(e: UnicodeError) -> tuple[str, int]:
+    r"""Characters that an encoding lacks as ``\U+XXXX``, as drawings write them."""
+    units = e.object[e.start : e.end].encode("utf-16-be", "surrogatepass")
+    codes = [int.from_bytes(units[i : i + 2], "big") for i in range(0, len(units), 2)]
+    return "".join(f"\\U+{c:08X}" if 0xD800 <= c < 0xE000 else f"\\U+{c:04X}" for c in codes), e.end
+
+
+def file_bytes(lines: pd.DataFrame) -> bytes:
+    """The bytes of a file from its lines in order, with the columns of ``formed_lines``."""
+    codecs.register_error("drawing", _escaped)
+    name, bom = lines["encoding"].iloc[0], lines["bom"].iloc[0]
+    head = MARKS[name] if bom else b""
+    if lines["raw"].isna().all():
+        return head + "".join(lines["text"] + lines["line_end"]).encode(name, "drawing")
+    rows = zip(lines["text"], lines["line_end"], lines["raw"])
+    return head + b"".join((t.encode(name, "drawing") if raw is None else bytes(raw)) + end.encode(name) for t, end, raw in rows)
+
+
 def read_lines(spark: SparkSession, path: str, fallback: str = FALLBACK) -> DataFrame:
-    """``path, line_no, text`` of the drawing files under a path; binary drawings are refused."""
+    """``path, line_no, text`` of the drawing files under a path, and their ``FORM``; binary drawings are refused."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][xX][fF]").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,8 +120,8 @@ def read_lines(spark: SparkSession, path: str, fallback: str = FALLBACK) -> Data
             for name, data in zip(pdf["path"], pdf["content"]):
                 if is_binary(data[:22]):
                     raise ValueError(f"{name} is a binary drawing; convert it to text first")
-                found = split_lines(decode(data, fallback))
-                yield pd.DataFrame({"path": name, "line_no": range(len(found)), "text": found}).astype({"line_no": "int32"})
+                found = formed_lines(data, fallback)
+                yield found.assign(path=name, line_no=range(len(found))).astype({"line_no": "int32"})[["path", "line_no", "text", *FORM]]
 
     return files.mapInPandas(lines, LINES_SCHEMA)
 
@@ -106,23 +159,25 @@ def read_root(rows: DataFrame, root: str | None = None) -> str:
 def write_lines(lines: DataFrame, folder: str, encodings: DataFrame | None = None, root: str | None = None) -> None:
     """Write each path's lines as one file under ``folder``, named by its path from ``root`` (see ``read_root``).
 
-    ``encodings`` may give ``path, encoding, newline`` to keep; the default is
-    UTF-8 and line feeds.  A path's lines are sorted inside its task.
+    Lines with ``FORM`` keep it.  For others ``encodings`` may give ``path,
+    encoding, newline`` to keep; the default is UTF-8 and line feeds.  A path's
+    lines are sorted inside its task.
     """
     base = read_root(lines, root)
-    rows = lines.select("path", "line_no", "text")
+    rows = lines.select("path", "line_no", "text", *FORM) if set(FORM) <= set(lines.columns) and encodings is None else lines.select("path", "line_no", "text")
     if encodings is not None:
         rows = rows.join(encodings.select("path", "encoding", "newline"), "path", "left")
-    else:
-        rows = rows.withColumns({"encoding": F.lit("utf-8"), "newline": F.lit("\n")})
 
     def save(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("line_no")
-        path, newline = pdf["path"].iloc[0], pdf["newline"].iloc[0] or "\n"
+        path = pdf["path"].iloc[0]
         name = os.path.join(folder, path[len(base) :].lstrip("/"))
+        if "raw" not in pdf:
+            encoding, newline = (pdf[c].iloc[0] if c in pdf else None for c in ("encoding", "newline"))
+            pdf = pdf.assign(encoding=PLAIN_NAMES.get(encoding, encoding) or "utf-8", bom=encoding == "utf-8-sig", line_end=newline or "\n", raw=None)
         os.makedirs(os.path.dirname(name), exist_ok=True)
-        with open(name, "w", encoding=pdf["encoding"].iloc[0] or "utf-8", errors="replace", newline="") as f:
-            f.write(newline.join(pdf["text"]) + newline)
+        with open(name, "wb") as f:
+            f.write(file_bytes(pdf))
         return pd.DataFrame({"path": [path], "lines": [len(pdf)]})
 
     os.makedirs(folder, exist_ok=True)
@@ -171,13 +226,23 @@ def register(spark: SparkSession) -> None:
 
 
 def replace_spans(lines: DataFrame, edits: DataFrame) -> DataFrame:
-    """Lines with spans replaced and numbered anew: ``path, line_no, text``.
+    """Lines with spans replaced and numbered anew: ``path, line_no, text``, and the ``FORM`` if the lines have it.
 
     ``edits`` has ``path, first_line, last_line, new_lines``: the lines from the
     first to the last give way to an array of new ones.  Spans do not overlap.
+    New lines have the form of the first and the line end of the last they replace.
     """
+    form = FORM if set(FORM) <= set(lines.columns) else ()
     gone = edits.select("path", F.explode(F.sequence("first_line", "last_line")).alias("line_no"))
-    kept = lines.join(gone, ["path", "line_no"], "left_anti").select("path", "line_no", F.lit(0).alias("sub"), "text")
-    new = edits.select("path", F.col("first_line").alias("line_no"), F.posexplode("new_lines").alias("sub", "text"))
+    kept = lines.join(gone, ["path", "line_no"], "left_anti").select("path", "line_no", F.lit(0).alias("sub"), "text", *form)
+    if form:
+        first = lines.select("path", F.col("line_no").alias("first_line"), "encoding", "bom", F.col("line_end").alias("first_end"))
+        last = lines.select("path", F.col("line_no").alias("last_line"), F.col("line_end").alias("last_end"))
+        edits = edits.join(first, ["path", "first_line"]).join(last, ["path", "last_line"])
+        inner = F.when(F.col("first_end") != "", F.col("first_end")).otherwise("\n")
+        end = F.when(F.col("sub") == F.size("new_lines") - 1, F.col("last_end")).otherwise(inner)
+        new = edits.select("*", F.posexplode("new_lines").alias("sub", "text")).select("path", F.col("first_line").alias("line_no"), "sub", "text", "encoding", "bom", end.alias("line_end"), F.lit(None).cast("binary").alias("raw"))
+    else:
+        new = edits.select("path", F.col("first_line").alias("line_no"), F.posexplode("new_lines").alias("sub", "text"))
     w = Window.partitionBy("path").orderBy("line_no", "sub")
-    return kept.unionByName(new).select("path", (F.row_number().over(w) - 1).alias("line_no"), "text")
+    return kept.unionByName(new).select("path", (F.row_number().over(w) - 1).alias("line_no"), "text", *form)

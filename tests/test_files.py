@@ -3,7 +3,7 @@
 import os
 
 from glyphlake.plans import pipeline
-from glyphlake.sources import sheet
+from glyphlake.sources import dxf, sheet
 
 
 def drawing(folder, name, *rows, newline="\n"):
@@ -35,3 +35,36 @@ def test_same_names_of_workbooks(spark, tmp_path):
     sheet.write_workbooks(rows, str(tmp_path / "x"))
     assert set(written(tmp_path / "x")) == {"A/plan.dxf.xlsx", "B/plan.dxf.xlsx", "B/plan.DXF.xlsx", "B/plan.xlsx"}
     assert {r["source"] for r in sheet.read_workbooks(spark, str(tmp_path / "x")).collect()} == set(paths)
+
+
+FORMS = {
+    "gb.dxf": "  0\nTEXT\n  5\n30\n  1\n钢梁 beam\n  0\nTEXT\n  1\n1500".encode("gb18030"),
+    "wide.dxf": b"\xff\xfe" + "  0\r\nTEXT\r\n  5\r\n30\r\n  1\r\n钢梁 beam\r\n".encode("utf-16-le"),
+    "big.dxf": b"\xfe\xff" + "  0\nTEXT\n  5\n30\n  1\n钢梁 beam\n".encode("utf-16-be"),
+    "mark.dxf": b"\xef\xbb\xbf" + "  0\r\nTEXT\r\n  5\r\n30\r\n  1\r\n钢梁 beam".encode(),
+    "mixed.dxf": b"999\r\n\x81\xff\x80 lost\n  0\rTEXT\r\n  5\n30\n  1\r\nbeam\r\n\n",
+    "odd.dxf": b"\xff\xfe" + "999\n".encode("utf-16-le") + b"\x00\xd8" + "\n  0\nTEXT\n  5\n30\n  1\nbeam\n".encode("utf-16-le") + b"\x20",
+}
+
+
+def test_bytes_of_files():
+    for name, data in FORMS.items():
+        lines = dxf.formed_lines(data)
+        assert dxf.file_bytes(lines) == data, name
+        assert "\n".join(lines["text"]).rstrip("\n") == "\n".join(dxf.split_lines(dxf.decode(data))).rstrip("\n"), name
+    latin = dxf.formed_lines("1\nDach für".encode("cp1252"), "cp1252")
+    assert dxf.file_bytes(latin.assign(text=["1", "für 梁"])) == b"1\nf\xfcr \\U+6881"
+
+
+def test_files_keep_their_bytes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, data in FORMS.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    session = pipeline.Session(spark, str(tmp_path / "in"))
+    session.translate_drawing(pipeline.E.make_engine("marker"), "en", "zh", str(tmp_path / "out"))
+    got = written(tmp_path / "out")
+    assert set(got) == set(FORMS)
+    for name, data in FORMS.items():
+        code = {"gb.dxf": "gb18030", "wide.dxf": "utf-16-le", "odd.dxf": "utf-16-le", "big.dxf": "utf-16-be"}.get(name, "utf-8")
+        old = ("beam" if name in ("mixed.dxf", "odd.dxf") else "钢梁 beam").encode(code)
+        assert got[name] == data.replace(old, "[zh] ".encode(code) + old), name
