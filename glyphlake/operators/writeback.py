@@ -121,14 +121,58 @@ def compose(items: DataFrame) -> DataFrame:
     layer_name``; kinds other than text and paragraph text are written as text.
     """
     w = Window.partitionBy("path").orderBy("ord", "handle")
-    mtext = F.col("entity_type") == "MText"
+    rows = items.where("raw_original_text is not null").select("path", F.row_number().over(w).alias("n"), F.posexplode(_plain(F.col("entity_type") == "MText")).alias("sub", "text"))
+    return _framed(items, rows)
+
+
+def _layer() -> Column:
+    return F.when(F.coalesce("layer_name", F.lit("")) != "", F.array(F.lit("  8"), F.col("layer_name"))).otherwise(F.array(F.lit("  8"), F.lit("0")))
+
+
+def _plain(mtext: Column) -> Column:
+    """The lines of a TEXT or an MTEXT."""
     body = F.flatten(F.transform(T.chunks(F.translate("raw_original_text", "\r\n\t", "   ")), lambda x: F.array(F.lpad(x["code"], 3, " "), x["text"])))
     one = F.array(F.lit("  1"), T.sanitize_line(F.col("raw_original_text")))
-    layer = F.when(F.coalesce("layer_name", F.lit("")) != "", F.array(F.lit("  8"), F.col("layer_name"))).otherwise(F.array(F.lit("  8"), F.lit("0")))
-    entity = F.concat(F.array(F.lit("  0"), F.when(mtext, "MTEXT").otherwise("TEXT"), F.lit("  5"), F.col("handle")), layer, F.array(F.lit(" 40"), F.lit("2.5")), F.when(mtext, F.concat(F.array(F.lit(" 41"), F.lit("50.0")), body)).otherwise(one))
-    rows = items.where("raw_original_text is not null").select("path", F.row_number().over(w).alias("n"), F.posexplode(entity).alias("sub", "text"))
+    return F.concat(F.array(F.lit("  0"), F.when(mtext, "MTEXT").otherwise("TEXT"), F.lit("  5"), F.col("handle")), _layer(), F.array(F.lit(" 40"), F.lit("2.5")), F.when(mtext, F.concat(F.array(F.lit(" 41"), F.lit("50.0")), body)).otherwise(one))
+
+
+def _framed(items: DataFrame, rows: DataFrame) -> DataFrame:
+    """``path, n, sub, text`` of the entities in a section, for every path of the items."""
     ends = items.select("path").distinct()
     frame = lambda n, *texts: ends.select("path", F.lit(n).alias("n"), F.posexplode(F.array(*map(F.lit, texts))).alias("sub", "text"))
     whole = rows.unionByName(frame(0, "  0", "SECTION", "  2", "ENTITIES")).unionByName(frame(2**31 - 1, "  0", "ENDSEC", "  0", "EOF"))
     v = Window.partitionBy("path").orderBy("n", "sub")
     return whole.select("path", (F.row_number().over(v) - 1).alias("line_no"), "text")
+
+
+def compose_kinds(items: DataFrame) -> DataFrame:
+    """As ``compose``, with each kind as the entity it comes from.
+
+    Attributes of an owner are the ATTRIBs of one INSERT, its cells one ACAD_TABLE
+    with cells of another type in the gaps, leaders MULTILEADERs with a context.
+    Owner, tag, row and column are those of the handle.
+    """
+    array = lambda *xs: F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    owner, kind, line = F.regexp_replace("handle", "::.*$", ""), F.col("entity_type"), T.sanitize_line(F.col("raw_original_text"))
+    tag = F.regexp_extract("handle", "::(.*)$", 1)
+    part = lambda n: F.regexp_extract("handle", "(?i)::R([0-9]+)::C([0-9]+)$", n).try_cast("int")
+    own = F.when(kind == "Attribute", F.concat(array("  0", "ATTRIB", "  5", F.col("handle")), _layer(), array("  2", tag, "  1", line)))
+    own = own.when(kind == "MLeader", F.concat(array("  0", "MULTILEADER", "  5", owner), _layer(), array("172", "2", "300", "CONTEXT_DATA{", "304", line, "301", "}")))
+    own = own.when(kind == "TableCell", array("301", "CELL_VALUE", "171", "1", "302", line)).otherwise(_plain(kind == "MText"))
+    shared = kind.isin("Attribute", "TableCell")
+    rows = items.where("raw_original_text is not null").select("path", "ord", "handle", kind.alias("kind"), F.when(shared, owner).otherwise(F.col("handle")).alias("entity"), owner.alias("owner"), _layer().alias("layer"), own.alias("own"), part(1).alias("row"), part(2).alias("column"))
+    parts = F.array_sort(F.collect_list(F.struct("ord", "handle", "layer", "own", "row", "column")))
+    # One row an entity: the first of its items gives place and layer.
+    whole = rows.groupBy("path", "kind", "entity", "owner").agg(parts.alias("parts")).withColumn("first", F.col("parts")[0])
+    columns = F.array_max(F.transform("parts", lambda x: x["column"])) + 1
+    height = F.array_max(F.transform("parts", lambda x: x["row"])) + 1
+    cells = F.map_from_entries(F.transform("parts", lambda x: F.struct(x["row"] * F.col("columns") + x["column"], x["own"])))
+    gap = array("301", "CELL_VALUE", "171", "2")
+    table = F.flatten(F.transform(F.sequence(F.lit(0), F.col("columns") * F.col("rows") - 1), lambda i: F.coalesce(F.try_element_at(F.col("cells"), i), gap)))
+    sized = whole.withColumn("columns", columns).withColumn("rows", height).withColumn("cells", F.when(F.col("kind") == "TableCell", cells))
+    head = lambda name: F.concat(array("  0", name, "  5", F.col("owner")), F.col("first.layer"))
+    flat = F.flatten(F.transform("parts", lambda x: x["own"]))
+    lines = F.when(F.col("kind") == "Attribute", F.concat(head("INSERT"), flat, array("  0", "SEQEND")))
+    lines = lines.when(F.col("kind") == "TableCell", F.concat(head("ACAD_TABLE"), array(" 91", F.col("rows").cast("string"), " 92", F.col("columns").cast("string")), table)).otherwise(flat)
+    w = Window.partitionBy("path").orderBy("first.ord", "first.handle", "kind")
+    return _framed(items, sized.select("path", F.row_number().over(w).alias("n"), lines.alias("lines")).select("path", "n", F.posexplode("lines").alias("sub", "text")))

@@ -93,8 +93,12 @@ def layer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.layer_states(N.with_entities(pairs))
 
 
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.compose_kinds(items(spark, sf_dir, *_COLUMNS))
+
+
 def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract_items(pairs_of(_lines(spark, sf_dir)), ExtractConfig())
+    found = extract_items(pairs_of(_kinds(spark, sf_dir)), ExtractConfig())
     return found.groupBy("path", "entity_type", "filter_reason").agg(F.count(F.lit(1)).alias("items"))
 
 
@@ -134,6 +138,20 @@ def write_back_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.summary(W.write_back(_lines(spark, sf_dir), _translated(spark, sf_dir))[1])
 
 
+def _all_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items(spark, sf_dir, *_COLUMNS).where("raw_original_text is not null").withColumn("translated_text", F.concat(F.lit("T:"), F.col("handle")))
+
+
+def write_back_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``write_back`` for all five kinds, each in an entity of its own kind: every place a text can stand, read again from the new lines."""
+    lines, _ = W.write_back(_kinds(spark, sf_dir), _all_translated(spark, sf_dir))
+    return W.targets(pairs_of(lines)).select("path", F.col("kind").alias("entity_type"), "key", F.col("raw").alias("text"))
+
+
+def write_back_kinds_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.summary(W.write_back(_kinds(spark, sf_dir), _all_translated(spark, sf_dir))[1])
+
+
 def layout_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     it = items(spark, sf_dir, *_COLUMNS).where("entity_type in ('Text', 'MText') and raw_original_text is not null")
     before = it.select("path", "entity_type", "handle", F.col("raw_original_text").alias("text"))
@@ -147,6 +165,7 @@ _FLAT = "translate(raw_original_text, chr(13) || chr(10) || chr(9), '   ')"
 _LAYER = "CASE WHEN coalesce(layer_name, '') <> '' THEN layer_name ELSE '0' END"
 _CHUNKS = f"greatest(1, ceil(length({_FLAT}) / 250.0))::BIGINT"
 _GUARD = f"regexp_full_match({_LINE}, '[\\t-\\r\\x{{85}}\\p{{Z}}]*[+-]?[0-9]+[\\t-\\r\\x{{85}}\\p{{Z}}]*')"
+_GUARD_ANY = f"CASE WHEN entity_type = 'MText' THEN {_GUARD.replace(_LINE, _FLAT)} ELSE {_GUARD} END"
 
 QUERIES = {
     "drawing_lines": drawing_lines,
@@ -164,6 +183,8 @@ QUERIES = {
     "mtext_rebuild": mtext_rebuild,
     "write_back": write_back,
     "write_back_log": write_back_log,
+    "write_back_kinds": write_back_kinds,
+    "write_back_kinds_log": write_back_kinds_log,
     "layout_adjust": layout_adjust,
 }
 ORACLE = {
@@ -178,4 +199,5 @@ ORACLE = {
     "extract_paragraphs": f"{_ONCE}, p AS (SELECT path, handle, unnest(string_split({_FLAT}, '\\P')) AS part, generate_subscripts(string_split({_FLAT}, '\\P'), 1) AS pos FROM items_once WHERE entity_type = 'MText' AND raw_original_text IS NOT NULL) SELECT path, handle || ':P' || (row_number() OVER (PARTITION BY path, handle ORDER BY pos) - 1) AS handle, part AS raw_original_text FROM p WHERE NOT regexp_full_match(part, '[\\t-\\r\\x{{85}}\\p{{Z}}]*')",
     "write_back": f"{_ONCE} SELECT path, handle, CASE WHEN entity_type = 'Text' AND NOT {_GUARD} THEN 'T:' || handle ELSE {_LINE} END AS text FROM items_once WHERE entity_type <> 'MText' AND raw_original_text IS NOT NULL",
     "write_back_log": f"{_ONCE} SELECT path, count(*) FILTER (NOT {_GUARD}) AS ok, count(*) FILTER ({_GUARD}) AS skipped, 0::BIGINT AS warnings FROM items_once WHERE entity_type = 'Text' AND raw_original_text IS NOT NULL GROUP BY path",
+    "write_back_kinds_log": f"{_ONCE} SELECT path, count(*) FILTER (NOT {_GUARD_ANY}) AS ok, count(*) FILTER ({_GUARD_ANY}) AS skipped, 0::BIGINT AS warnings FROM items_once WHERE raw_original_text IS NOT NULL GROUP BY path",
 }
