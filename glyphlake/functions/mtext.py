@@ -185,6 +185,16 @@ def rebuild_udf(raw: Column, text: Column, width: Column) -> Column:
     return run(raw, text, width.cast("double"))
 
 
+def rebuild_paragraphs_udf(parts: Column, texts: Column, width: Column) -> Column:
+    """Paragraphs with the translation of each; one without stays as it is."""
+
+    @F.pandas_udf("string")
+    def run(a: pd.Series, b: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series(["\\P".join(rebuild(x, y, z) if y else x for x, y in zip(p, t)) for p, t, z in zip(a, b, w)], dtype=object)
+
+    return run(parts, texts, width.cast("double"))
+
+
 def wrap_udf(text: Column, width: Column) -> Column:
     @F.pandas_udf("string")
     def run(a: pd.Series, w: pd.Series) -> pd.Series:

@@ -85,9 +85,13 @@ def paragraphs(mtext: DataFrame) -> DataFrame:
 
 
 def merge_paragraphs(items: DataFrame) -> DataFrame:
-    """Paragraph rows put back together by their entity: ``path, handle, translated_text`` with paragraph marks."""
-    rows = items.where(F.col("handle").rlike(r":P[0-9]+$"))
-    n = F.regexp_extract("handle", r":P([0-9]+)$", 1).cast("int")
-    owner = F.regexp_replace("handle", r":P[0-9]+$", "")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(n.alias("n"), F.coalesce("translated_text", "original_text").alias("t")))), lambda x: x["t"])
-    return rows.groupBy("path", owner.alias("handle")).agg(F.array_join(parts, "\n").alias("translated_text"))
+    """Paragraph rows put back together by their entity: ``path, handle, entity_type, ord, translated_text`` with paragraph marks, and ``paragraphs``, the translations by number."""
+    rows = items.where(F.col("handle").rlike(r":P[0-9]+$")).select("path", F.col("handle").alias("part"), "original_text", F.col("translated_text").alias("given"), F.col("ord").alias("at"))
+    n = F.regexp_extract("part", r":P([0-9]+)$", 1).cast("int")
+    owner = F.regexp_replace("part", r":P[0-9]+$", "")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(n.alias("n"), F.coalesce("given", "original_text").alias("t")))), lambda x: x["t"])
+    # Of several rows for a paragraph the last by ``ord`` counts.
+    given = F.array_sort(F.collect_list(F.when(~is_blank(F.col("given")), F.struct(n.alias("n"), "at", F.col("given").alias("t")))))
+    last = F.filter(given, lambda x, i: F.coalesce(F.try_element_at(given, i + 2)["n"] != x["n"], F.lit(True)))
+    numbered = F.map_from_entries(F.transform(last, lambda x: F.struct(x["n"], x["t"])))
+    return rows.groupBy("path", owner.alias("handle")).agg(F.array_join(parts, "\n").alias("translated_text"), F.min("at").alias("ord"), numbered.alias("paragraphs")).withColumn("entity_type", F.lit("MText"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphlake.functions import text as T
-from glyphlake.functions.mtext import rebuild_udf
+from glyphlake.functions.mtext import rebuild_paragraphs_udf, rebuild_udf
 from glyphlake.functions.predicates import is_blank, is_integer_line
 from glyphlake.operators import entities as N
 from glyphlake.runtime import materialize
@@ -49,14 +49,14 @@ def targets(pairs: DataFrame) -> DataFrame:
 
 
 def match(items: DataFrame, places: DataFrame) -> DataFrame:
-    """Items with the place of their handle and kind: ``path, kind, key, text, raw, first_line, last_line, width, rest_lines, state``.
+    """Items with the place of their handle and kind: ``path, kind, key, text, paragraphs, raw, first_line, last_line, width, rest_lines, state``.
 
     ``state`` is ``not_found``, ``no_line`` (nothing to write to), ``guarded``
     (the line to overwrite is an integer) or ``ok``.  Of several rows for a
     handle the last by ``ord`` counts; blank translations are left out.
     """
-    wanted = items.where(~is_blank(F.col("translated_text"))).select("path", F.col("entity_type").alias("kind"), F.upper(F.trim("handle")).alias("key"), F.col("translated_text").alias("text"), "ord")
-    last = wanted.groupBy("path", "kind", "key").agg(F.max_by("text", "ord").alias("text"))
+    wanted = items.where(~is_blank(F.col("translated_text"))).select("path", F.col("entity_type").alias("kind"), F.upper(F.trim("handle")).alias("key"), F.col("translated_text").alias("text"), "ord", (F.col("paragraphs") if "paragraphs" in items.columns else F.lit(None).cast("map<int,string>")).alias("paragraphs"))
+    last = wanted.groupBy("path", "kind", "key").agg(F.max_by("text", "ord").alias("text"), F.max_by("paragraphs", "ord").alias("paragraphs"))
     joined = last.join(places, ["path", "kind", "key"], "left")
     state = F.when(F.col("raw").isNull() & F.col("first_line").isNull(), "not_found").when(F.col("first_line").isNull() | F.col("last_line").isNull(), "no_line").when(is_integer_line(F.col("raw")), "guarded").otherwise("ok")
     return joined.withColumn("state", state)
@@ -67,13 +67,19 @@ def spans(matched: DataFrame) -> DataFrame:
 
     A paragraph text gives its code line and its chunks a new form, from the
     first chunk's code line to the last; other kinds replace their value line.
+    If its paragraphs are given by number, each takes the place of its own.
     Further lines of an older table cell are blanked.
     """
     ok = matched.where("state = 'ok'")
     simple = ok.where("kind <> 'MText'").select("path", "first_line", "last_line", F.array(T.sanitize_line(F.col("text"))).alias("new_lines"))
     blanks = ok.where("kind = 'TableCell'").select("path", F.explode("rest_lines").alias("first_line"))
     blanks = blanks.select("path", "first_line", F.col("first_line").alias("last_line"), F.array(F.lit("")).alias("new_lines"))
-    body = ok.where("kind = 'MText'").withColumn("body", rebuild_udf(F.col("raw"), F.col("text"), F.coalesce("width", F.lit(0.0))))
+    width, parts = F.coalesce("width", F.lit(0.0)), F.split("raw", r"\\P")
+    # Numbers count the paragraphs that are not blank, as ``paragraphs`` of extraction does.
+    own = F.transform(parts, lambda x, i: F.when(~is_blank(x), F.try_element_at("paragraphs", F.size(F.filter(F.slice(parts, 1, i), lambda y: ~is_blank(y))))))
+    mtext = ok.where("kind = 'MText'")
+    apart = mtext.where("paragraphs is not null").withColumn("body", rebuild_paragraphs_udf(parts, own, width))
+    body = mtext.where("paragraphs is null").withColumn("body", rebuild_udf(F.col("raw"), F.col("text"), width)).unionByName(apart)
     chunked = F.flatten(F.transform(T.chunks(F.col("body")), lambda x: F.array(F.lpad(x["code"], 3, " "), x["text"])))
     texts = body.select("path", (F.col("first_line") - 1).alias("first_line"), "last_line", chunked.alias("new_lines"))
     return simple.unionByName(blanks).unionByName(texts)

@@ -17,7 +17,7 @@ from glyphlake.functions.predicates import is_blank
 from glyphlake.operators import reconcile as R
 from glyphlake.operators import translate as E
 from glyphlake.operators import writeback as W
-from glyphlake.operators.extract import ExtractConfig, extract_items
+from glyphlake.operators.extract import ExtractConfig, extract_items, merge_paragraphs
 from glyphlake.operators.glossary import apply_glossary
 from glyphlake.operators.merge import truly_translated
 from glyphlake.runtime import materialize
@@ -79,6 +79,11 @@ class Session:
         return self._write(rows.where(~is_blank(F.col("translated_text"))), folder)
 
     def _write(self, rows: DataFrame, folder: str) -> DataFrame:
+        if self.config.mtext_paragraphs and not self.config.mtext_whole:
+            # A place is a whole entity, so its paragraphs are put together.
+            apart, columns = F.col("entity_type") == "MText", ("path", "handle", "entity_type", "ord", "translated_text", "paragraphs")
+            rows = rows.withColumn("paragraphs", F.lit(None).cast("map<int,string>"))
+            rows = rows.where(~apart).select(*columns).unionByName(merge_paragraphs(rows.where(apart)).select(*columns))
         lines, done = W.write_back(self.lines, rows)
         dxf.write_lines(lines, folder, root=self.path)
         return W.summary(done)

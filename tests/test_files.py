@@ -2,6 +2,7 @@
 
 import os
 
+from glyphlake.operators.extract import ExtractConfig
 from glyphlake.plans import pipeline
 from glyphlake.sources import dxf, sheet
 
@@ -68,3 +69,13 @@ def test_files_keep_their_bytes(spark, tmp_path):
         code = {"gb.dxf": "gb18030", "wide.dxf": "utf-16-le", "odd.dxf": "utf-16-le", "big.dxf": "utf-16-be"}.get(name, "utf-8")
         old = ("beam" if name in ("mixed.dxf", "odd.dxf") else "钢梁 beam").encode(code)
         assert got[name] == data.replace(old, "[zh] ".encode(code) + old), name
+
+
+def test_paragraphs_are_written(spark, tmp_path):
+    drawing(tmp_path / "in", "d.dxf", (0, "MTEXT"), (5, "40"), (3, r"AAA\~x"), (1, r"BBB\P\P1500\P{\H2;CCC}"), (0, "TEXT"), (5, "30"), (1, "Beam"))
+    session = pipeline.Session(spark, str(tmp_path / "in"), ExtractConfig(mtext_whole=False, mtext_paragraphs=True))
+    done = session.translate_drawing(pipeline.E.make_engine("marker"), "en", "zh", str(tmp_path / "out")).first()
+    assert (done["ok"], done["warnings"]) == (2, 0)
+    lines = written(tmp_path / "out")["d.dxf"].decode().split("\n")
+    # Each paragraph keeps its place, and the blank one stays.
+    assert [x.split(r"\P") for x in lines if "AAA" in x][0][1:] == ["", "[zh] 1500", r"{\H2;[zh] CCC}"] and "[zh] Beam" in lines
