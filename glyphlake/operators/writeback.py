@@ -85,13 +85,18 @@ def spans(matched: DataFrame) -> DataFrame:
     return simple.unionByName(blanks).unionByName(texts)
 
 
-def write_back(lines: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+def write_back(lines: DataFrame, items: DataFrame, fit: bool = False) -> tuple[DataFrame, DataFrame]:
     """The lines with the translations of ``path, handle, entity_type, translated_text, ord`` in them, and the log of the matches.
 
-    The log has ``path, kind, key, state``.
+    The log has ``path, kind, key, state``.  ``fit`` also scales the heights and
+    widths of texts that overflow.
     """
-    matched = match(items, targets(pairs_of(lines)))
-    return replace_spans(lines, spans(matched)), matched.select("path", "kind", "key", "state")
+    pairs = pairs_of(lines)
+    matched = match(items, targets(pairs))
+    edits = spans(matched)
+    if fit:
+        edits = edits.unionByName(layout_spans(pairs, matched))
+    return replace_spans(lines, edits), matched.select("path", "kind", "key", "state")
 
 
 def summary(log: DataFrame) -> DataFrame:
@@ -99,25 +104,41 @@ def summary(log: DataFrame) -> DataFrame:
     return log.groupBy("path").agg(F.count_if(F.col("state") == "ok").alias("ok"), F.count_if(F.col("state") == "guarded").alias("skipped"), F.count_if(F.col("state").isin("not_found", "no_line")).alias("warnings"))
 
 
+def layout_spans(pairs: DataFrame, matched: DataFrame) -> DataFrame:
+    """``path, first_line, last_line, new_lines`` of the heights and widths of the matches that overflow."""
+    ok = matched.where("state = 'ok' and kind in ('Text', 'MText')")
+    rows = lambda text: ok.select("path", F.col("kind").alias("entity_type"), F.col("key").alias("handle"), F.col(text).alias("text"))
+    # Of several entities of a handle only the one that is written.
+    written = ok.select("path", F.col("kind").alias("entity_type"), "key", F.col("last_line").alias("text_line"), "first_line")
+    found = layout(pairs, rows("raw"), rows("text")).join(written, ["path", "entity_type", "key", "text_line"])
+    outside = (F.col("width_line") < F.col("first_line") - 1) | (F.col("width_line") > F.col("text_line"))
+    places = F.array(F.struct(F.col("height_line").alias("line"), F.col("height").alias("value")), F.struct(F.when(outside, F.col("width_line")).alias("line"), F.col("width").alias("value")))
+    each = found.select("path", F.explode(places).alias("p")).where("p.line is not null and p.value is not null")
+    return each.select("path", F.col("p.line").alias("first_line"), F.col("p.line").alias("last_line"), F.array("p.value").alias("new_lines"))
+
+
 def layout(pairs: DataFrame, originals: DataFrame, translations: DataFrame) -> DataFrame:
-    """``path, key, scale, height_line, height, width_line, width`` of texts that overflow.
+    """``path, entity_type, key, text_line, scale, height_line, height, width_line, width`` of texts that overflow.
 
     ``originals`` and ``translations`` have ``path, entity_type, handle, text``.  A
     text's bound is the width it had; a paragraph text's is its rectangle.  The
-    height is the nearest pair 40 before the text, at most 25 pairs away.
+    height is the nearest pair 40 of the entity before the text, at most 25 pairs
+    away; the width is the paragraph text's last pair 41.
     """
     found = materialize(N.with_entities(pairs))
     near = N.nearest_before(found.select("path", "pair_idx", "code", "value", "value_line", "entity", "kind"), 40).where("code in (1, 3)")
     at = near.groupBy("path", "entity", "kind").agg(F.min_by("near_value", "pair_idx").alias("h"), F.min_by("near_line", "pair_idx").alias("height_line"))
-    texts = N.texts(found).select("path", "entity", "handle", F.lit("Text").alias("entity_type"), F.lit(None).cast("double").alias("rect_width"))
-    mtexts = N.mtexts(found).select("path", "entity", "handle", F.lit("MText").alias("entity_type"), "rect_width")
-    places = texts.unionByName(mtexts).join(at.select("path", "entity", "h", "height_line"), ["path", "entity"]).withColumn("key", F.upper(F.trim("handle")))
+    own = found.groupBy("path", "entity").agg(F.min("value_line").alias("start"), F.max(F.when((F.col("code") == 41) & (F.col("kind") == "MTEXT"), F.col("value_line"))).alias("width_line"))
+    at = at.join(own, ["path", "entity"]).where("height_line >= start")
+    texts = N.texts(found).select("path", "entity", "handle", F.lit("Text").alias("entity_type"), F.lit(None).cast("double").alias("rect_width"), "text_line")
+    mtexts = N.mtexts(found).select("path", "entity", "handle", F.lit("MText").alias("entity_type"), "rect_width", F.col("last_code1_line").alias("text_line"))
+    places = texts.unionByName(mtexts).join(at.select("path", "entity", "h", "height_line", "width_line"), ["path", "entity"]).withColumn("key", F.upper(F.trim("handle")))
     size = lambda df, n: df.select("path", "entity_type", F.upper(F.trim("handle")).alias("key"), (T.visual_width(F.col("text")) / 100).alias(n))
     rows = places.join(size(originals, "before"), ["path", "entity_type", "key"]).join(size(translations, "after"), ["path", "entity_type", "key"]).withColumn("height", F.expr("try_cast(trim(h) as double)")).where("height > 0")
     bound = F.when(F.col("entity_type") == "Text", F.col("before") * F.col("height")).otherwise(F.col("rect_width"))
     scaled = rows.withColumn("scale", T.layout_scale(F.col("after") * F.col("height"), bound)).where("scale is not null")
     high = F.col("height") * F.col("scale")
-    return scaled.select("path", "entity_type", "key", F.round("scale", 6).alias("scale"), "height_line", F.format_string("%.6f", high).alias("height"), F.when(F.col("entity_type") == "MText", F.format_string("%.6f", F.col("after") * high)).alias("width"))
+    return scaled.select("path", "entity_type", "key", "text_line", "width_line", F.round("scale", 6).alias("scale"), "height_line", F.format_string("%.6f", high).alias("height"), F.when(F.col("entity_type") == "MText", F.format_string("%.6f", F.col("after") * high)).alias("width"))
 
 
 def compose(items: DataFrame) -> DataFrame:

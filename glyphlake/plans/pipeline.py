@@ -37,10 +37,10 @@ def list_engines() -> list[str]:
 
 
 class Session:
-    """Drawings under a path, read once."""
+    """Drawings under a path, read once; ``fit`` scales texts whose translation overflows."""
 
-    def __init__(self, spark: SparkSession, path: str, config: ExtractConfig = ExtractConfig()) -> None:
-        self.spark, self.path, self.config = spark, path, config
+    def __init__(self, spark: SparkSession, path: str, config: ExtractConfig = ExtractConfig(), fit: bool = True) -> None:
+        self.spark, self.path, self.config, self.fit = spark, path, config, fit
         self._lines: DataFrame | None = None
         self._items: DataFrame | None = None
 
@@ -84,7 +84,7 @@ class Session:
             apart, columns = F.col("entity_type") == "MText", ("path", "handle", "entity_type", "ord", "translated_text", "paragraphs")
             rows = rows.withColumn("paragraphs", F.lit(None).cast("map<int,string>"))
             rows = rows.where(~apart).select(*columns).unionByName(merge_paragraphs(rows.where(apart)).select(*columns))
-        lines, done = W.write_back(self.lines, rows)
+        lines, done = W.write_back(self.lines, rows, self.fit)
         dxf.write_lines(lines, folder, root=self.path)
         return W.summary(done)
 

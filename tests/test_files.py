@@ -79,3 +79,16 @@ def test_paragraphs_are_written(spark, tmp_path):
     lines = written(tmp_path / "out")["d.dxf"].decode().split("\n")
     # Each paragraph keeps its place, and the blank one stays.
     assert [x.split(r"\P") for x in lines if "AAA" in x][0][1:] == ["", "[zh] 1500", r"{\H2;[zh] CCC}"] and "[zh] Beam" in lines
+
+
+def test_overflowing_texts_are_scaled(spark, tmp_path):
+    texts = ((0, "TEXT"), (5, "30"), (40, "2.0"), (1, "Beams"), (0, "TEXT"), (5, "31"), (1, "no height"))
+    drawing(tmp_path / "in", "d.dxf", *texts, (0, "MTEXT"), (5, "40"), (40, "2.0"), (41, "4.0"), (1, "Paragraph"))
+    size = {}
+    for fit in (True, False):
+        session = pipeline.Session(spark, str(tmp_path / "in"), fit=fit)
+        session.translate_drawing(pipeline.E.make_engine("marker"), "en", "zh", str(tmp_path / f"out{fit}"))
+        lines = written(tmp_path / f"out{fit}")["d.dxf"].decode().split("\n")
+        size[fit] = [(c.strip(), float(v)) for c, v in zip(lines[::2], lines[1::2]) if c.strip() in ("40", "41")]
+    assert size[False] == [("40", 2.0), ("40", 2.0), ("41", 4.0)]
+    assert [c for c, _ in size[True]] == ["40", "40", "41"] and size[True][0][1] == 1.3 and size[True][1][1] == 1.3 and size[True][2][1] != 4.0
