@@ -1,31 +1,38 @@
-"""Orphan references by dictionary-encoded keys and sparse bitmaps.
-
-Parent keys ``(path, HANDLE)`` are spread over hash ranges and numbered densely
-inside each range.  A bitmap is a set of 64-bit words addressed by
-``(range, word)``; only words with a set bit exist, so it is stored compressed.
-References are encoded against the dictionary (what cannot be encoded is
-missing), folded into one bitmap per range and month, and compared with the
-parent bitmap of that month -- the keys loaded before the month began and not
-erased by its end -- as ``reference AND NOT parent``.  The surviving bits are
-decoded and only they are compared by exact time.
-
-Defined cases: null or blank reference fields, list entries, handles and paths
-refer to nothing; repeated rows give one result; an empty parent table makes
-every reference ``missing``; a reference without time has a null period and is
-reported only if ``missing``.  Where several parents share a key, the reference
-is good if any of them is: the earliest load counts, and the key counts as
-erased only when all of them are, at the last of their times.
+"""Orphan references by dictionary-encoded keys and compressed bitmaps.
+
+The keys ``(path, HANDLE)`` of both sides, parents and references, form one
+dictionary: they are spread over hash ranges and numbered densely inside each.
+Every 65,536 numbers of a range have one compressed bitmap (module ``bitmaps``)
+for each month of reference, of loading and of erasing.  The parent bitmap of a
+month holds the keys that were loaded before it began and not erased by its
+end; ``reference AND NOT parent`` leaves the references that may be orphans,
+whether their key is unknown, erased or loaded later.  The surviving bits are
+decoded by the dictionary, and only they are compared by exact time.
+
+Only distinct keys by month are numbered and sent to Python, so a key that a
+third of all rows refer to is one bit a month.
+
+Defined cases: null or blank reference fields and list entries refer to nothing;
+a null path is a path without items, so its references are ``missing``; parents
+without path or handle are none; repeated rows give one result; an empty parent
+table makes every reference ``missing``; a reference without time has a null
+period and is reported only if ``missing``.  Where several parents share a key,
+the reference is good if any of them is: the earliest load counts, and the key
+counts as erased only when all of them are, at the last of their times.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphlake.runtime import materialize, shuffle_width
+from glyphlake.operators import bitmaps
+from glyphlake.runtime import shuffle_width
 
-#: Bits of a bitmap word.
-WORD = 64
+#: The month of a reference without time, that of a parent's row, and the time of what has none.
+NEVER, PARENT, NO_TIME = -1, -2, -(1 << 62)
 
 
 def parse_handles(col: Column) -> Column:
@@ -40,27 +47,10 @@ def parse_handles(col: Column) -> Column:
 
 
 def parent_keys(items: DataFrame) -> DataFrame:
-    """``path, handle, loaded_at, erased_at``: one row per key, hot keys pre-aggregated."""
-    keys = F.explode(
-        F.array_distinct(
-            F.filter(
-                F.transform(
-                    F.concat(F.array("handle"), F.coalesce("cad_handles", F.array().cast("array<string>"))),
-                    lambda h: F.upper(F.trim(h)),
-                ),
-                lambda h: h.isNotNull() & (F.length(h) > 0),
-            )
-        )
-    )
-    return (
-        items.select("path", keys.alias("handle"), "loaded_at", "erased_at")
-        .where("path is not null")
-        .groupBy("path", "handle")
-        .agg(
-            F.min("loaded_at").alias("loaded_at"),
-            F.when(F.count("erased_at") == F.count(F.lit(1)), F.max("erased_at")).alias("erased_at"),
-        )
-    )
+    """``path, handle, loaded_at, erased_at`` of every handle of every item."""
+    named = F.transform(F.concat(F.array("handle"), F.coalesce("cad_handles", F.array().cast("array<string>"))), lambda h: F.upper(F.trim(h)))
+    keys = F.explode(F.array_distinct(F.filter(named, lambda h: h.isNotNull() & (F.length(h) > 0))))
+    return items.where("path is not null").select("path", keys.alias("handle"), "loaded_at", "erased_at")
 
 
 def utc_date(col: Column) -> Column:
@@ -72,55 +62,56 @@ def month_no(col: Column) -> Column:
     return F.year(utc_date(col)) * 12 + F.month(utc_date(col)) - 1
 
 
-def key_dictionary(parents: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Adds ``rng`` and the dense number ``kid`` of each key within its range."""
-    n = ranges or 4 * shuffle_width(parents.sparkSession)
-    rng = F.pmod(F.xxhash64("path", "handle"), F.lit(n)).cast("int")
-    w = Window.partitionBy("rng").orderBy("path", "handle")
-    return parents.withColumn("rng", rng).withColumn("kid", (F.row_number().over(w) - 1).cast("int"))
-
-
-def _word(kid: str) -> Column:
-    return F.shiftright(kid, 6).alias("word")
-
-
-def _bit(kid: str) -> Column:
-    return F.expr(f"shiftleft(1L, {kid} & {WORD - 1})")
-
+def key_dictionary(references: DataFrame, parents: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``rng, kid, path, handle, month, loaded, erased``: the numbered keys.
 
-def reference_bitmaps(encoded: DataFrame) -> DataFrame:
-    """``rng, word, month, bits`` of the encoded references."""
-    return (
-        encoded.where("kid is not null and month is not null")
-        .groupBy("rng", _word("kid"), "month")
-        .agg(F.bit_or(_bit("kid")).alias("bits"))
-    )
-
-
-def parent_bitmaps(dictionary: DataFrame) -> DataFrame:
-    """``rng, word, loaded, erased``: bits by month of loading and of erasing.
-
-    Each list has at most one entry per month and per key of the word, so never
-    more than 64.
+    One row for each key and month of reference, and one for each key that has
+    parents (its month is ``PARENT``); times are in microseconds.
     """
-    d = dictionary.select("rng", _word("kid"), _bit("kid").alias("bit"), month_no(F.col("loaded_at")).alias("lm"), month_no(F.col("erased_at")).alias("em"))
-    both = d.select("rng", "word", "bit", F.explode(F.array(F.struct(F.lit(True).alias("load"), F.col("lm").alias("m")), F.struct(F.lit(False).alias("load"), F.col("em").alias("m")))).alias("e"))
-    by_month = both.where("e.m is not null").groupBy("rng", "word", "e.load", "e.m").agg(F.bit_or("bit").alias("bits"))
-    entry = F.struct("m", "bits")
-    return by_month.groupBy("rng", "word").agg(
-        F.collect_list(F.when(F.col("load"), entry)).alias("loaded"),
-        F.collect_list(F.when(~F.col("load"), entry)).alias("erased"),
+    n = ranges or 4 * shuffle_width(references.sparkSession)
+    of_refs = references.select("path", "handle", F.coalesce(month_no(F.col("at")), F.lit(NEVER)).alias("month"), F.lit(None).cast("long").alias("loaded"), F.lit(None).cast("long").alias("erased"))
+    of_parents = parents.select("path", "handle", F.lit(PARENT).alias("month"), F.unix_micros("loaded_at").alias("loaded"), F.unix_micros("erased_at").alias("erased"))
+    keys = of_refs.unionByName(of_parents).groupBy("path", "handle", "month").agg(
+        F.coalesce(F.min("loaded"), F.lit(NO_TIME)).alias("loaded"),
+        F.coalesce(F.when(F.count("erased") == F.count(F.lit(1)), F.max("erased")), F.lit(NO_TIME)).alias("erased"),
     )
-
-
-def and_not(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """``rng, kid, month`` of the bits in a reference bitmap that its month's parent bitmap lacks."""
-    fold = lambda xs, keep: F.aggregate(F.filter(xs, keep), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x["bits"]))
-    month = F.col("month")
-    good = F.coalesce(fold("loaded", lambda x: x["m"] < month), F.lit(0)).bitwiseAND(F.bitwise_not(F.coalesce(fold("erased", lambda x: x["m"] <= month), F.lit(0))))
-    left = refs.join(parents, ["rng", "word"], "left").select("rng", "word", "month", F.col("bits").bitwiseAND(F.bitwise_not(good)).alias("left"))
-    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.expr("left").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)) != 0)
-    return left.where("left <> 0").select("rng", "month", F.explode(bits).alias("b"), "word").select("rng", (F.col("word") * WORD + F.col("b")).cast("int").alias("kid"), "month")
+    rng = F.pmod(F.xxhash64("path", "handle"), F.lit(n)).cast("int")
+    number = F.dense_rank().over(Window.partitionBy("rng").orderBy("path", "handle")) - 1
+    return keys.withColumn("rng", rng).withColumn("kid", number)
+
+
+def _by_month(micros_or_months: np.ndarray, numbers: np.ndarray, micros: bool = False) -> dict[int, bytes]:
+    """A bitmap of the numbers of each month, in the order of the months."""
+    months = micros_or_months
+    if micros:
+        months = months.astype("datetime64[us]").astype("datetime64[M]").astype(np.int64) + 12 * 1970
+    return {int(m): bitmaps.pack(np.unique(numbers[months == m])) for m in np.unique(months)}
+
+
+def surviving(keys: pd.DataFrame) -> pd.DataFrame:
+    """The references of one bitmap's keys whose bit the parent bitmap of their month lacks, decoded."""
+    low = (keys["kid"].to_numpy() & (bitmaps.SPAN - 1)).astype(np.int64)
+    month, load, erase = (keys[c].to_numpy() for c in ("month", "loaded", "erased"))
+    own = month == PARENT
+    known, gone = own & (load != NO_TIME), own & (erase != NO_TIME)
+    loaded, erased = _by_month(load[known], low[known], True), _by_month(erase[gone], low[gone], True)
+    loads, ends = list(loaded), list(erased)
+    keep = np.zeros(len(keys), dtype=bool)
+    before = dead = bitmaps.pack(low[:0])
+    for m, asked in _by_month(month[~own], low[~own]).items():
+        # What is loaded in the month itself may be later than the reference.
+        while loads and loads[0] < m:
+            before = bitmaps.union(before, loaded[loads.pop(0)])
+        while ends and ends[0] <= m:
+            dead = bitmaps.union(dead, erased[ends.pop(0)])
+        left = bitmaps.and_not(asked, bitmaps.and_not(before, dead))
+        mine = month == m
+        keep[mine] = bitmaps.has(left, low[mine])
+    parent = np.full(bitmaps.SPAN, -1, dtype=np.int64)
+    parent[low[own]] = np.flatnonzero(own)
+    at = parent[low[keep]]
+    has = at >= 0
+    return keys.loc[keep, ["path", "handle", "month"]].assign(has=has, loaded=np.where(has, load[at], NO_TIME), erased=np.where(has, erase[at], NO_TIME))
 
 
 def orphan_references(references: DataFrame, items: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -128,17 +119,15 @@ def orphan_references(references: DataFrame, items: DataFrame, ranges: int | Non
 
     ``references`` has ``ref_table, ref_row_id, ref_field, path, handle, at``.
     """
-    # Both the bitmaps and the decoding use the numbers, which must not change between them.
-    dictionary = materialize(key_dictionary(parent_keys(items), ranges))
-    encoded = materialize(
-        references.select("ref_table", "ref_row_id", "ref_field", "path", "handle", "at").join(dictionary.select("path", "handle", "rng", "kid"), ["path", "handle"], "left").select("ref_table", "ref_row_id", "ref_field", "handle", "at", month_no(F.col("at")).alias("month"), "rng", "kid")
-    )
-    survivors = and_not(reference_bitmaps(encoded), parent_bitmaps(dictionary)).join(dictionary.select("rng", "kid", "loaded_at", "erased_at"), ["rng", "kid"])
-    kind = F.when(F.col("erased_at") <= F.col("at"), "deleted").when(F.col("loaded_at") > F.col("at"), "late")
-    timed = encoded.join(survivors, ["rng", "kid", "month"]).withColumn("kind", kind).where("kind is not null")
-    missing = encoded.where("kid is null").withColumn("kind", F.lit("missing"))
-    out = ["ref_table", "ref_row_id", "ref_field", "handle", "kind", F.date_format(utc_date(F.col("at")), "yyyy-MM").alias("period")]
-    return missing.select(*out).unionByName(timed.select(*out)).distinct()
+    refs = references.select("ref_table", "ref_row_id", "ref_field", "path", "handle", "at")
+    keys = key_dictionary(refs, parent_keys(items), ranges)
+    left = keys.groupBy("rng", F.shiftright("kid", 16).alias("chunk")).applyInPandas(surviving, "path string, handle string, month int, has boolean, loaded long, erased long")
+    left = left.withColumnsRenamed({"path": "_path", "handle": "_handle", "month": "_month"})
+    of_key = F.col("path").eqNullSafe(F.col("_path")) & (F.col("handle") == F.col("_handle")) & (F.coalesce(month_no(F.col("at")), F.lit(NEVER)) == F.col("_month"))
+    at = F.unix_micros("at")
+    kind = F.when(~F.col("has"), "missing").when((F.col("erased") != NO_TIME) & (F.col("erased") <= at), "deleted").when(F.col("loaded") > at, "late")
+    found = refs.join(left, of_key).withColumn("kind", kind).where("kind is not null")
+    return found.select("ref_table", "ref_row_id", "ref_field", "handle", "kind", F.date_format(utc_date(F.col("at")), "yyyy-MM").alias("period")).distinct()
 
 
 def references(sheet_rows: DataFrame, bridge_edits: DataFrame) -> DataFrame:

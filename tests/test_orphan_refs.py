@@ -1,7 +1,11 @@
 import datetime as dt
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from glyphlake.operators import bitmaps
 from glyphlake.operators import orphan_refs as O
 
 D = lambda m, d=1: dt.datetime(2024, m, d)
@@ -63,3 +67,27 @@ def test_hot_key(spark):
     refs = [("s", n, "id", "p", "A" if n % 3 else f"N{n}", D(2), 0) for n in range(3000)]
     got = O.orphan_references(spark.createDataFrame(refs, REFS), spark.createDataFrame(items, ITEMS))
     assert {r["kind"]: r["count"] for r in got.groupBy("kind").count().collect()} == {"late": 2000, "missing": 1000}
+
+
+RUNS = st.builds(lambda xs: {n for a, k in xs for n in range(a, min(a + k, bitmaps.SPAN))}, st.lists(st.tuples(st.integers(0, bitmaps.SPAN - 1), st.integers(1, 3000)), max_size=8))
+SPARSE = st.sets(st.integers(0, bitmaps.SPAN - 1), max_size=300)
+EVERY_THIRD = st.builds(lambda k: set(range(k, bitmaps.SPAN, 3)), st.integers(0, 2))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.one_of(RUNS, SPARSE, EVERY_THIRD), st.one_of(RUNS, SPARSE, EVERY_THIRD))
+def test_bitmaps_are_sets(a, b):
+    x, y = (bitmaps.pack(np.array(sorted(s), dtype=np.int64)) for s in (a, b))
+    assert max(len(x), len(y)) <= 1 + bitmaps.SPAN // 8
+    assert set(bitmaps.members(x).tolist()) == a
+    assert set(bitmaps.members(bitmaps.and_not(x, y)).tolist()) == a - b
+    assert set(bitmaps.members(bitmaps.union(x, y)).tolist()) == a | b
+    asked = np.arange(0, bitmaps.SPAN, 7)
+    assert bitmaps.has(x, asked).tolist() == [n in a for n in asked.tolist()]
+
+
+def test_more_keys_than_one_bitmap(spark):
+    items = spark.range(70_000).selectExpr("id as item_id", "'p' as path", "hex(id) as handle", "cast(null as array<string>) as cad_handles", "timestamp '2024-03-05' as loaded_at", "if(id % 1000 = 0, timestamp '2024-04-01', null) as erased_at", "1 as kid")
+    refs = spark.range(0, 80_000, 5).selectExpr("'s' as ref_table", "id as ref_row_id", "'id' as ref_field", "'p' as path", "hex(id) as handle", "timestamp '2024-05-05' as at", "1 as rng")
+    got = O.orphan_references(refs, items, 1)
+    assert {r["kind"]: r["count"] for r in got.groupBy("kind").count().collect()} == {"deleted": 70, "missing": 2000}
