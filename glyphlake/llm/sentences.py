@@ -5,10 +5,12 @@ blocks of a hard-wrapped text, where it only wraps the running paragraph.  List
 entries, with their marker, are one unit each.  Inside a unit every position
 after a terminal mark, with its closing quotes and brackets, is a candidate; in
 Thai so is every blank.  The tables in ``CASCADE`` hold ordered pairs of regular
-expressions (what stands before, what stands after) with a verdict.  The tables
-are asked in order -- those of the languages whose script stands around the
-position, then the general one -- and the first pair that matches decides.
-Marks inside a quotation or bracket that goes on after them never break.
+expressions (what stands before, what stands after) with a verdict.  Each
+language has its table.  In scripts that one language uses here the script tells
+which; in Latin letters it is the languages that the unit's function words leave
+likely, else those of the whole text, else all.  The tables are asked in order,
+the general one last, and the first pair that matches decides.  Marks inside a
+quotation or bracket that goes on after them never break.
 
 Defined cases: null, empty and blank texts have no units; a text without any
 terminal mark is one unit per line; marks on their own join the unit before
@@ -18,6 +20,7 @@ length.  Offsets count code points and end exclusively.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -51,25 +54,49 @@ class Rule:
     after: str = ""
 
 
+#: Every abbreviation of the tables.
+ABBREVIATIONS: set[str] = set()
+
+
 def _abbreviations(words: str) -> str:
+    ABBREVIATIONS.update(words.split())
     return r"(?<![\p{L}\p{N}])(?:" + "|".join(regex.escape(w) for w in sorted(words.split(), key=len, reverse=True)) + r")\."
 
 
+def _numbered(words: str) -> Rule:
+    """Words that are abbreviations only before a figure or a code; else they end a sentence like any word."""
+    return Rule(JOIN, _abbreviations(words), r"\s*[(]?(?:\p{N}|\p{Lu}{1,4}[-./]?\p{N}|\p{Lu}{1,4}-|[IVX]+\b|[øØ±])")
+
+
 #: Abbreviations that never end a sentence before a capital, figure or code. Those that may (etc., usw., и т. д.) are left out.
 CASCADE: dict[str, list[Rule]] = {
     "en": [
         Rule(BREAK, r"\b[Rr]ev\. [A-Z]\.", r"\s+\p{Lu}"),
         Rule(BREAK, r"\b[ap]\.\s?m\.", r"\s+\p{Lu}"),
-        Rule(JOIN, _abbreviations("Dwg dwg Fig fig Figs Sec sec Sect Rev rev approx Approx Mr Mrs Ms Dr Prof St Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec Ltd Inc Co Corp Dept Eq Eqs Ref Vol Ch App Art vs e.g i.e E.g I.e viz spec Spec dia Dia max Max min Min temp qty Qty No Nos nos no"), r"\s*[\p{N}\p{Lu}(]"),
+        Rule(JOIN, _abbreviations("Dwg dwg Fig fig Figs Sec sec Sect Rev rev approx Approx Mr Mrs Ms Dr Prof St Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec Ltd Inc Co Corp Dept Eq Eqs Ref Vol Ch vs e.g i.e E.g I.e viz"), r"\s*[\p{N}\p{Lu}(]"),
+        _numbered("App app Art art spec Spec dia Dia max Max min Min temp Temp qty Qty No Nos nos no p pp v"),
     ],
     "de": [
         Rule(JOIN, r"(?<!\p{L})(?:[Ii]m|[Aa]m|[Vv]om|[Zz]um|[Bb]is|[Aa]b|[Ss]eit|[Bb]eim|[Dd]er|[Dd]ie|[Dd]as|[Dd]en|[Dd]em|[Dd]es|[Jj]ede[rsnm]?)\s\p{N}{1,2}\.", r"\s+\p{L}"),
         Rule(JOIN, r"\p{N}{1,2}\.", r"\s+(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|OG|UG|EG|Stock|Etage)\b"),
-        Rule(JOIN, _abbreviations("vgl Vgl Abschn Abb Ziff Nr Nrn Fa Fr Hr Dr Prof Bd Kap Pos Str St bzw ca Ca ggf Ggf max Max min Min mind Mind inkl exkl einschl gem Gem Art Abs Anl Taf Tab Tel evtl zzgl lt Lt sog Aufl Hrsg Ing Dipl"), r"\s*[\p{N}\p{L}(]"),
+        Rule(JOIN, _abbreviations("vgl Vgl Abschn Abb Ziff Nr Nrn Fa Fr Hr Dr Prof Bd Kap Pos Str St bzw ca Ca ggf Ggf mind Mind inkl exkl einschl gem Gem Art Abs Anl Taf Tab Tel evtl zzgl lt Lt sog Aufl Hrsg Ing Dipl"), r"\s*[\p{N}\p{L}(]"),
+        _numbered("max Max min Min"),
+    ],
+    "fr": [
+        Rule(JOIN, _abbreviations("chap Chap art Art fig Fig env Env sté Sté cf Cf réf Réf éd vol tél MM Mme Mlle M av bd dr Dr n° ex"), r"\s*[\p{N}\p{L}(]"),
+        _numbered("max Max min Min p pp v n"),
+    ],
+    "es": [
+        Rule(JOIN, _abbreviations("Sr Sra Srta Dr Dra Ud Uds núm Núm fig Fig cap Cap art Art aprox Aprox pág págs ej Ej vol tel Tel ed Ing Arq ref Ref"), r"\s*[\p{N}\p{L}(]"),
+        _numbered("máx Máx mín Mín v V p n"),
+    ],
+    "pt": [
+        Rule(JOIN, _abbreviations("Sr Sra Dr Dra núm fig Fig cap Cap art Art aprox Aprox pág págs ex cf Cf vol tel Eng Arq ref Ref"), r"\s*[\p{N}\p{L}(]"),
+        _numbered("máx Máx mín Mín v p n"),
+    ],
+    "hi": [
+        Rule(JOIN, _abbreviations("डॉ श्री सं क्र क्रमांक नं चि पृ रु उदा लि प्रा इं मि मी से कि किमी मिमी वि ई ए"), r"\s*[\p{N}\p{L}(]"),
     ],
-    "fr": [Rule(JOIN, _abbreviations("chap Chap art Art fig Fig env Env sté Sté cf Cf réf Réf éd vol tél max Max min Min MM Mme Mlle M av bd dr Dr n° p ex"), r"\s*[\p{N}\p{L}(]")],
-    "es": [Rule(JOIN, _abbreviations("Sr Sra Srta Dr Dra Ud Uds núm Núm fig Fig cap Cap art Art aprox Aprox máx Máx mín Mín pág págs ej Ej v V vol tel Tel ed Ing Arq ref Ref"), r"\s*[\p{N}\p{L}(]")],
-    "pt": [Rule(JOIN, _abbreviations("Sr Sra Dr Dra núm fig Fig cap Cap art Art aprox Aprox máx Máx mín Mín pág págs ex cf Cf vol tel Eng Arq ref Ref n"), r"\s*[\p{N}\p{L}(]")],
     "initial": [
         # A unit of measure after a figure is no initial.
         Rule(BREAK, r"\p{N}\s?[°º]?(?:\p{L}[²³]?|°)\.", r"\s+[\p{Lu}\p{N}¿¡«„\"“(]"),
@@ -122,15 +149,45 @@ CASCADE: dict[str, list[Rule]] = {
     ],
 }
 
-LATIN = ("en", "de", "fr", "es", "pt", "initial", "all")
+# Function words of the languages in Latin letters, which tell what language a unit is in.
+FUNCTION_WORDS = {
+    "en": "the and of to in is are be must with for at on from by shall this that it was were has have not before after all which will or as an if when than into he she they we you",
+    "de": "der die das und ist sind mit von zu im am auf für nicht werden wird ein eine einen einer den dem des muss vor nach bei aus oder als auch dass zum zur wurde sich an er sie es wir",
+    "fr": "le la les des du de et est sont dans par pour avec sur une un doit être pas avant après au aux ou que qui ne ce cette il elle nous à en",
+    "es": "el la los las del de y es son en por para con sobre una un debe ser no antes después al o que se este esta lo su como deben está nos a",
+    "pt": "o a os as do da dos das de e é são em por para com sobre uma um deve ser não antes após ao ou que se este esta no na nos nas devem está sua seu à",
+}
+_SPEAKS: dict[str, tuple[str, ...]] = {w: tuple(k for k, ws in FUNCTION_WORDS.items() if w in ws.split()) for ws in FUNCTION_WORDS.values() for w in ws.split()}
+ALL_LATIN = ("en", "de", "fr", "es", "pt", "initial", "all")
+
+
+@lru_cache(maxsize=None)
+def _latin(langs: tuple[str, ...]) -> tuple[str, ...]:
+    return (*langs, "initial", "all") if langs else ALL_LATIN
+
+
+def spoken(text: str) -> tuple[str, ...]:
+    """The languages in Latin letters that a text's function words leave likely, the likeliest first.
+
+    A word that several languages have counts for each of them a part.  A
+    language is left if it has a fourth of what the likeliest one has, so that
+    each sentence of a mixed text finds its table.
+    """
+    votes: dict[str, float] = {}
+    for w in text.lower().split():
+        for k in (langs := _SPEAKS.get(w, ())):
+            votes[k] = votes.get(k, 0.0) + 1.0 / len(langs)
+    most = max(votes.values(), default=0.0)
+    return tuple(sorted((k for k, v in votes.items() if 4 * v >= most), key=lambda k: (-votes[k], k)))
+
+
 SCRIPTS: list[tuple[str, tuple[str, ...]]] = [
     (r"\p{Thai}", ("th", "all")),
     (r"[\p{Hiragana}\p{Katakana}]", ("ja", "all")),
     (r"\p{Hangul}", ("ko", "initial", "all")),
     (r"\p{Han}", ("zh", "all")),
-    (r"\p{Devanagari}", ("all",)),
+    (r"\p{Devanagari}", ("hi", "all")),
     (r"\p{Cyrillic}", ("ru", "initial", "all")),
-    (r"\p{Latin}", LATIN),
 ]
 LETTER = regex.compile(r"\p{L}", V)
 _SCRIPT = [(regex.compile(p, V), t) for p, t in SCRIPTS]
@@ -148,22 +205,25 @@ def _compiled(tables: tuple[str, ...]) -> list[tuple[bool, regex.Pattern]]:
 
 
 OTHER_SCRIPT = regex.compile(r"[\p{Thai}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Han}\p{Devanagari}\p{Cyrillic}]", V)
-THAI = regex.compile(r"\p{Thai}", V)
 KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]", V)
-#: Characters before a position in which its script is looked for.
-CONTEXT = 60
 
 
 def _tables(text: str, start: int, at: int) -> tuple[str, ...]:
-    """The tables of the script that stands before a position."""
-    before = text[max(start, at - CONTEXT) : at]
-    for c in reversed(before):
-        if c.isalpha():
+    """The tables of the script of the last letter before a position in a sentence that begins at ``start``; none for Latin letters."""
+    for i in range(at - 1, start - 1, -1):
+        if (c := text[i]).isalpha():
+            if c < "\u0250":
+                return ()
             for p, t in _SCRIPT:
                 if p.match(c):
-                    return t if t[0] != "zh" or not KANA.search(before) else SCRIPTS[1][1]
-            return LATIN
-    return LATIN
+                    return t if t[0] != "zh" or not KANA.search(text, start, at) else SCRIPTS[1][1]
+            return ()
+    return ()
+
+
+#: Whether any rule of the languages in Latin letters has a say; where none has, which of them it is makes no difference.
+_ANY_LATIN = regex.compile("|".join(f"(?<={r.before})(?={r.after})" for k in FUNCTION_WORDS for r in CASCADE[k]), V)
+_NO_LANGUAGE = ("initial", "all")
 
 
 def breaks(text: str, end: int, at: int, tables: tuple[str, ...]) -> bool:
@@ -192,8 +252,8 @@ def _blocks(text: str) -> list[list[tuple[int, int]]]:
     return [x for x in out if x]
 
 
-#: Widths at which texts are wrapped; a longer line is no wrapped one.
-WIDTH = (32, 100)
+#: Nats of evidence for a hard-wrapped text; those of a line that goes on without a capital, and of one of five words or more.
+WRAPPED, GOES_ON, RUNNING = 2.0, 1.0, 1.0
 
 
 def _full(text: str, line: tuple[int, int], following: tuple[int, int], width: int) -> bool:
@@ -205,30 +265,40 @@ def _full(text: str, line: tuple[int, int], following: tuple[int, int], width: i
 def _wrap_width(text: str, blocks: list[list[tuple[int, int]]]) -> int:
     """The width at which a text is hard-wrapped, 0 if it is not.
 
-    It is, if no line that another follows in its block is longer than a wrapped
-    line can be, and a line that ends inside a sentence, which goes on in small
-    letters, was full.  Without small letters every such line must be full.
+    It is, if every line that ends inside a sentence and goes on in small
+    letters was full, and that is more than chance: a line of no wrapped text
+    is full as often as the next word is long in proportion to the width.
+    Some full line has four words at least; without small letters every such
+    line must be full and one have five words.
     """
     pairs = [p for x in blocks for p in zip(x, x[1:])]
-    width = max((len(text[a:b].rstrip()) for (a, b), _ in pairs), default=0)
-    if not WIDTH[0] <= width <= WIDTH[1]:
+    if not pairs:
         return 0
-    small = every = long = False
-    every = True
+    width = max(len(text[a:b].rstrip()) for (a, b), _ in pairs)
+    small, every, most = False, True, 0
+    evidence = 0.0
     for here, there in pairs:
         line = text[slice(*here)].rstrip()
         if ENDS.search(line):
             continue
-        if regex.search(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", line):
+        if UNSPACED.search(line):
             every = False
             continue
-        full, lower = _full(text, here, there, width), text[slice(*there)].lstrip()[0].islower()
+        following = text[slice(*there)].lstrip()
+        full, lower = _full(text, here, there, width), following[0].islower()
         if lower and not full:
             return 0
+        if full:
+            words = len(line.split())
+            chance = min(1.0, (1 + len(following.split(None, 1)[0])) / width)
+            evidence += (GOES_ON if following[0].isalpha() and not following[0].isupper() else 0.0) + (RUNNING if words >= 5 else 0.0) - math.log(chance)
+            most = max(most, words)
         small |= lower and full
         every &= full
-        long |= full and len(line.split()) >= 5
-    return width if small or every and long else 0
+    return width if evidence >= WRAPPED and (small and most >= 4 or every and most >= 5) else 0
+
+
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", V)
 
 
 def units(text: str) -> Iterator[tuple[int, int]]:
@@ -250,29 +320,59 @@ def _inside(text: str, start: int, end: int) -> list[tuple[int, int]]:
 NESTED_OPEN = regex.compile(r"[„“«»「『\"(（\[《]", V)
 
 
-def _split(text: str, start: int, end: int) -> Iterator[int]:
-    """The positions inside a unit at which sentences end."""
+def _split(text: str, start: int, end: int, whole: list[tuple[str, ...]]) -> Iterator[int]:
+    """The positions inside a unit at which sentences end; ``whole`` keeps the languages of the whole text."""
+    found = list(TERMINAL.finditer(text, start, end))
+    other = OTHER_SCRIPT.search(text, start, end)
+    if not found and not other:
+        return
     nested = _inside(text, start, end)
-    latin = not OTHER_SCRIPT.search(text, start, end)
-    for m in TERMINAL.finditer(text, start, end):
+    latin: tuple[str, ...] = ()
+    since = start
+
+    def tables(at: int) -> tuple[str, ...]:
+        nonlocal latin
+        if text[at - 1] != "." or not _ANY_LATIN.match(text, at, end):
+            return _NO_LANGUAGE
+        if not latin:
+            langs = spoken(text[start:end])
+            if not langs:
+                if not whole:
+                    whole.append(spoken(text))
+                langs = whole[0]
+            latin = _latin(langs)
+        return latin
+
+    for m in found:
         at = m.end()
-        if hit := next(((a, b) for a, b in nested if a < m.start() < b), None):
+        if nested and (hit := next(((a, b) for a, b in nested if a < m.start() < b), None)):
             if at < hit[1]:
                 continue
             at = max(hit[1], min(at, end))
-        if at < end and breaks(text, end, at, LATIN if latin else _tables(text, start, at)):
+        if at >= end:
+            continue
+        if not other and at + 1 < end and text[at - 1] == "." and text[at] == " " and text[at + 1].isupper():
+            # A plain word before the stop and a capital after it: no rule but the general break has a say.
+            word = text[max(start, text.rfind(" ", start, at) + 1) : at - 1]
+            if len(word) > 1 and word.isalpha() and word not in ABBREVIATIONS:
+                yield at
+                since = at
+                continue
+        if breaks(text, end, at, (other and _tables(text, since, at)) or tables(at)):
             yield at
-    if not latin and THAI.search(text, start, end):
+            since = at
+    if other:
         for m in THAI_BLANK.finditer(text, start, end):
-            if not any(a < m.start() < b for a, b in nested) and THAI.search(text, max(start, m.start() - 20), min(end, m.end() + 2)) and breaks(text, end, m.start(), ("th", "all")):
+            if ("\u0e00" <= text[m.start() - 1] <= "\u0e7f" or "\u0e00" <= text[m.end()] <= "\u0e7f") and not any(a < m.start() < b for a, b in nested) and breaks(text, end, m.start(), ("th", "all")):
                 yield m.start()
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """The ``(start, end)`` of every sentence unit of a text."""
     out: list[tuple[int, int]] = []
+    whole: list[tuple[str, ...]] = []
     for start, end in units(text or ""):
-        cuts = [start, *(() if MARKER.match(text, start, end) else sorted(set(_split(text, start, end)))), end]
+        cuts = [start, *(() if MARKER.match(text, start, end) else sorted(set(_split(text, start, end, whole)))), end]
         first = len(out)
         for a, b in zip(cuts, cuts[1:]):
             piece = text[a:b]

@@ -68,3 +68,34 @@ def test_units_cover_all_and_do_not_overlap(text):
         assert a < b and text[a:b] == text[a:b].strip() and not covered & set(range(a, b))
         covered |= set(range(a, b))
     assert all(text[i].isspace() for i in range(len(text)) if i not in covered)
+
+
+def _parts(text):
+    return [text[a:b] for a, b in sentences(text)]
+
+
+def test_plain_words_end_sentences_and_abbreviations_do_not():
+    assert _parts("He said no. Then he left.") == ["He said no.", "Then he left."]
+    assert _parts("Read the spec. The pump runs.") == ["Read the spec.", "The pump runs."]
+    assert _parts("It is the max. Then stop.") == ["It is the max.", "Then stop."]
+    assert _parts("It takes max. 5 bar. See no. A-12.") == ["It takes max. 5 bar.", "See no. A-12."]
+    assert _parts("सं. 5 देखें। पंप चालू है।") == ["सं. 5 देखें।", "पंप चालू है।"]
+
+
+def test_each_sentence_of_a_mixed_text_finds_its_table():
+    text = "The pump is in the room of the building. Die Zeichnung Nr. Fünf ist für den Bau gültig und die Maße sind im Plan."
+    assert len(_parts(text)) == 2
+
+
+def test_texts_wrapped_at_any_width_are_one_paragraph():
+    import textwrap
+
+    para = "the contractor shall provide all labour and materials for the installation of the pumps and valves in the plant room before the start of the heating season and shall keep the records of all tests that were made on the site during the work so that the engineer can see them at any time."
+    for width in (22, 26, 40, 80, 119, 150):
+        assert len(sentences(textwrap.fill(para, width))) == 1, width
+    assert len(sentences("Pump room\nfire damper\nvalve")) == 3
+
+
+def test_script_of_a_position_is_looked_for_in_the_whole_sentence():
+    text = "ポンプ" + "-1234567890" * 20 + "。次の文。"
+    assert _parts(text) == [text[:-4], "次の文。"]
