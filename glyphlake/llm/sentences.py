@@ -102,7 +102,7 @@ CASCADE: dict[str, list[Rule]] = {
         Rule(BREAK, r"\p{N}\s?[°º]?(?:\p{L}[²³]?|°)\.", r"\s+[\p{Lu}\p{N}¿¡«„\"“(]"),
         # One letter: the end of a name given by a common word, else an initial or a part of an abbreviation.
         Rule(BREAK, r"(?<!\p{L})(?:\p{Ll}{3,}|\p{N}+)\s\p{Lu}\.", r"\s+\p{Lu}\p{Ll}"),
-        Rule(JOIN, r"(?<!\p{L})\p{L}\.", r"\s*[\p{L}\p{N}(]"),
+        Rule(JOIN, r"(?<!\p{L})[\p{Latin}\p{Cyrillic}]\.", r"\s*[\p{L}\p{N}(]"),
     ],
     "ru": [
         Rule(BREAK, r"(?:т\.\s?[дп]|и\s?(?:др|пр))\.", r"\s+\p{Lu}"),
