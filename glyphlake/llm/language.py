@@ -3,11 +3,20 @@ r"""Languages of texts and of their segments by compression.
 Each language has a raw-content dictionary for Zstandard, made of sentences
 from a bounded sample of labelled rows (``SAMPLE`` texts a language, chosen by
 hash; sentences that occur under several labels go to the label they have most
-often).  A unit of text is compressed with the dictionary of every language
-whose script it is written in; the language with the smallest result is its
-language, and the margin to the second smallest is its confidence.  A unit with
-a margin under ``NARROW`` bits a letter is rejected: it takes the language of
-its neighbours, or of the label if that is among the close ones.
+often).  A unit of text is compressed with the dictionary of every language;
+only languages that cannot encode it, as their dictionaries hold hardly any
+letters of its scripts, are spared.  The smallest result is the unit's language.
+
+A unit is rejected, and has the language ``und``, in two cases.  Its margin is
+narrow: the second smallest result is within ``NARROW`` bytes, and stays within
+``NARROW_WIDE`` when the unit is compressed again in 32-bit characters at a high
+level, where parts of words count.  Or no dictionary fits: the result is hardly
+smaller than without any (``GAIN``), nor much smaller than the second (``LEAD``).  The label of a text never decides: it is
+wrong if a clear unit is in another language, or if it is none of the close ones
+of a narrow unit.  A rejected unit beside clear ones belongs to their segment.
+
+The confidence is the share of held-out labelled sentences of such a margin
+that were put right.
 
 Units are the sentences of module ``sentences``.  Names, tags, codes, numbers,
 units of measure and bracketed terms say nothing of the language and are left
@@ -17,7 +26,9 @@ language are one segment.
 Defined cases: null and blank texts and texts without words have no segments; a
 null, blank or unknown label is missing; labels are read in any customary
 spelling; repeated rows give one result; without any labelled row no text has a
-language; whole texts are read.
+language; whole texts are read.  A text with a missing label, all of whose units
+are narrow, is a case in its likeliest language; a text that no dictionary fits
+is none.
 """
 
 from __future__ import annotations
@@ -25,10 +36,13 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +57,18 @@ SAMPLE = 3000
 #: Bytes of a language's dictionary.
 DICTIONARY = 96_000
 LEVEL = 9
-#: Units whose best two languages differ by less, in bytes, are rejected.
-NARROW = 2
+#: Units whose best two languages differ by less, in bytes, are looked at again, and then rejected.
+NARROW, NARROW_WIDE, LEVEL_WIDE = 2, 4, 19
+#: A dictionary fits if it saves this part of what a unit takes without one; ``SLACK`` bytes are left for new words.
+GAIN, SLACK = 0.5, 12
+#: Or if the second smallest result is this part larger.
+LEAD = 0.1
+#: Part of a dictionary's letters that a script must have to be one of its language; part of a unit's letters that must be in such scripts.
+SCRIPT_SHARE, ENCODES = 0.2, 0.5
+#: Language of a rejected unit.
+UND = "und"
+#: Margins, in bytes, from which the classes of confidence begin; held-out sentences a language that they are measured on.
+MARGINS, HELD_OUT = (0, 2, 3, 5, 8, 13, 21), 200
 
 LANGUAGES = ("en", "zh", "de", "fr", "es", "ja", "ko", "ru", "pt", "th", "hi")
 # Customary spellings of language labels besides the two-letter codes.
@@ -64,15 +88,19 @@ def label(col: Column) -> Column:
     return F.when(~gone, F.coalesce(F.element_at(known, first), F.lit("?")))
 
 
-SCRIPTS = (
-    (re.compile("[぀-ヿｦ-ﾟ]"), ("ja",)),
-    (re.compile("[ᄀ-ᇿ㄰-㆏가-힣]"), ("ko",)),
-    (re.compile("[一-鿿㐀-䶿豈-﫿]"), ("zh", "ja")),
-    (re.compile("[Ѐ-ӿ]"), ("ru",)),
-    (re.compile("[฀-๿]"), ("th",)),
-    (re.compile("[ऀ-ॿ]"), ("hi",)),
-    (re.compile("[A-Za-zÀ-ɏ]"), ("en", "de", "fr", "es", "pt")),
-)
+# Scripts whose letters are told apart, and the letters that count double as they hold more.
+SCRIPTS = {"kana": "぀-ヿｦ-ﾟ", "hangul": "ᄀ-ᇿ㄰-㆏가-힣", "han": "一-鿿㐀-䶿豈-﫿", "cyrillic": "Ѐ-ӿ", "thai": "฀-๿", "devanagari": "ऀ-ॿ", "latin": "A-Za-zÀ-ɏ"}
+_SCRIPT = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()}
+_WEIGHT = {"kana": 2, "hangul": 2, "han": 2}
+
+
+def scripts(text: str) -> dict[str, int]:
+    """The weight of the letters of each script in a text."""
+    if text.isascii():
+        n = sum(map(str.isalpha, text))
+        return {"latin": n} if n else {}
+    return {k: n * _WEIGHT.get(k, 1) for k, p in _SCRIPT.items() if (n := len(p.findall(text)))}
+
 
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
 _SPACED = re.compile("(?<=[぀-ヿ㐀-鿿])[ \t　]+(?=[぀-ヿ㐀-鿿])")
@@ -120,49 +148,94 @@ def worded(text: str) -> str:
     return w if any(len(x) > 1 or x > "\u0900" for x in w.split()) else ""
 
 
+def _codec(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+class Read(NamedTuple):
+    """What compression says of a unit: languages by size, whether they are told apart, whether any fits."""
+
+    lang: str
+    margin: int
+    close: tuple[str, ...]
+    clear: bool
+    letters: int
+    whole: bool
+
+
 class Classifier:
     """Languages of units of text under one dictionary for each language."""
 
-    def __init__(self, contents: dict[str, bytes]) -> None:
-        self.codecs = {}
-        for lang, data in contents.items():
-            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.codecs[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self._units: dict[str, tuple[tuple[tuple[int, str], ...], int, bool] | None] = {}
-        self._sizes: dict[str, tuple[tuple[int, str], ...]] = {}
-
-    def unit(self, unit: str) -> tuple[tuple[tuple[int, str], ...], int, bool] | None:
-        """The sizes, the length and whether it is a sentence, of a unit; None if it has no words. Figures make no difference."""
+    def __init__(self, contents: dict[str, str], confidence: list[float] | None = None) -> None:
+        self.contents = contents
+        self.codecs = {k: _codec(_encode(v, k), LEVEL) for k, v in contents.items()}
+        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
+        self.confidence = confidence or [1.0] * len(MARGINS)
+        self.scripts: dict[str, frozenset[str]] = {}
+        for k, v in contents.items():
+            have = scripts(v)
+            self.scripts[k] = frozenset(x for x, n in have.items() if n >= SCRIPT_SHARE * sum(have.values()))
+        self._wide: dict[str, zstandard.ZstdCompressor] = {}
+        self._units: dict[str, Read | None] = {}
+        self._words: dict[str, tuple[str, int, tuple[str, ...], bool] | None] = {}
+
+    def unit(self, unit: str) -> Read | None:
+        """The language of a unit; None if it has no words. Figures make no difference."""
         shape = _FIGURES.sub("0", unit)
         if shape in self._units:
             return self._units[shape]
         w, hit = worded(unit), None
-        if w and (sizes := self.sizes(w)):
-            hit = (sizes, len(w), is_sentence(unit, w))
+        if w and (read := self.words(w)):
+            hit = Read(*read, len(w), is_sentence(unit, w))
         if len(self._units) < 200_000:
             self._units[shape] = hit
         return hit
 
-    def sizes(self, w: str) -> tuple[tuple[int, str], ...]:
-        """``(compressed size, language)`` of some words, the smallest first."""
-        hit = self._sizes.get(w)
-        if hit is None:
-            counts = [(len(p.findall(w)), langs) for p, langs in SCRIPTS]
-            kana, total = counts[0][0], sum(n for n, _ in counts)
-            if not total:
-                hit = ()
-            else:
-                # Kana and Han together are Japanese; one ideograph counts as two letters.
-                best = max(((2 * n if langs[0] in ("zh", "ja", "ko") else n, langs) for n, langs in counts), key=lambda x: x[0])[1]
-                if best == ("zh", "ja") and kana:
-                    best = ("ja",)
-                data = _encode(w, best[0])
-                hit = tuple(sorted((len(self.codecs[x].compress(data)), x) for x in best if x in self.codecs))
-            if len(self._sizes) < 300_000:
-                self._sizes[w] = hit
+    def candidates(self, w: str) -> list[str]:
+        """The languages whose dictionaries can encode some words."""
+        have = scripts(w)
+        total = sum(have.values())
+        part = {k: n for k, own in self.scripts.items() if (n := sum(m for x, m in have.items() if x in own)) and n >= ENCODES * total}
+        # Sizes in 8-bit and in 32-bit characters cannot be compared.
+        wide = max(part, key=lambda k: (part[k], k in WIDE), default="") in WIDE
+        return [k for k in part if (k in WIDE) == wide]
+
+    def words(self, w: str) -> tuple[str, int, tuple[str, ...], bool] | None:
+        """``(language, margin, close languages, clear)`` of some words; None if no language can encode them."""
+        if w in self._words:
+            return self._words[w]
+        hit = None
+        if langs := self.candidates(w):
+            data = {x: _encode(w, x) for x in langs}
+            sizes = sorted((len(self.codecs[x].compress(data[x])), x) for x in langs)
+            best, lang = sizes[0]
+            close = tuple(x for s, x in sizes if s - best < NARROW)
+            margin = sizes[1][0] - best if len(sizes) > 1 else len(w)
+            clear = len(close) == 1
+            if not clear:
+                wide = sorted((len(self.wide(x).compress(w.encode("utf-32-le", "surrogatepass"))), x) for x in close)
+                lang = wide[0][1]
+                if wide[1][0] - wide[0][0] >= NARROW_WIDE:
+                    clear, close, margin = True, (lang,), NARROW
+            if (len(sizes) == 1 or sizes[1][0] < (1 + LEAD) * best) and next(n for n, x in sizes if x == lang) > (1 - GAIN) * len(self.plain.compress(data[lang])) + SLACK:
+                clear, close = False, ()
+            hit = (lang, margin, close, clear)
+        if len(self._words) < 300_000:
+            self._words[w] = hit
         return hit
 
+    def wide(self, lang: str) -> zstandard.ZstdCompressor:
+        """The compressor of a language for 32-bit characters, made when it is first asked for."""
+        if lang not in self._wide:
+            self._wide[lang] = _codec(self.contents[lang].encode("utf-32-le", "surrogatepass"), LEVEL_WIDE)
+        return self._wide[lang]
+
+    def sure(self, margin: float) -> float:
+        """The confidence in a margin."""
+        return self.confidence[bisect_right(MARGINS, margin) - 1]
+
 
 def units(text: str) -> list[str]:
     return [text[a:b] for a, b in sentences(text)]
@@ -176,37 +249,40 @@ def is_sentence(unit: str, w: str) -> bool:
     return n >= 4 or n >= 2 and bool(_TERMINAL.search(unit)) or bool(re.search("[。！？]", unit))
 
 
-def segments(text: str | None, model: Classifier, hint: str | None = None) -> list[tuple[str, float]]:
-    """``(language, confidence)`` of the segments of a text, in its order; ``hint`` is the label's language."""
-    found: list[tuple[str, int, int, bool]] = []  # language, margin, letters, whole sentence
-    open_units: list[tuple[tuple[tuple[int, str], ...], int, bool]] = []
-    for unit in units(text or ""):
-        if read := model.unit(unit):
-            open_units.append(read)
-    if not open_units:
+class Segment(NamedTuple):
+    """A segment's language (``und`` if rejected), its confidence, its likeliest language, and those that are close to it."""
+
+    lang: str
+    confidence: float
+    likely: str
+    close: tuple[str, ...]
+
+
+def segments(text: str | None, model: Classifier) -> list[Segment]:
+    """The segments of a text in its order."""
+    reads = [r for unit in units(text or "") if (r := model.unit(unit))]
+    if not reads:
         return []
-    clear = [s[0][1] for s, n, whole in open_units if whole and (len(s) == 1 or s[1][0] - s[0][0] >= NARROW)]
-    usual = Counter(clear).most_common(1)[0][0] if clear else None
+    usual = Counter(r.lang for r in reads if r.clear and r.whole).most_common(1) or Counter(r.lang for r in reads if r.clear).most_common(1)
+    if not usual:
+        # All rejected: one segment, as close as its units are.
+        best = max(reads, key=lambda r: (len(r.close) > 0, r.letters))
+        close = tuple(x for x in best.close if all(x in r.close or not r.close for r in reads)) or best.close
+        return [Segment(UND, 0.0, best.lang if best.lang in close or not close else close[0], close)]
     last = None
-    for sizes, n, whole in open_units:
-        size, lang = sizes[0]
-        margin = sizes[1][0] - size if len(sizes) > 1 else n
-        close = [x for s, x in sizes if s - size < NARROW]
-        if not whole and len(open_units) > 1 and (last or usual):
-            # A term among sentences forms no segment of its own.
-            lang = last or usual
-        elif margin < NARROW and len(close) > 1:
-            lang = next((x for x in (last, hint, usual) if x in close), lang)
-        last = lang
-        found.append((lang, margin, n, whole))
     merged: list[list] = []
-    for lang, margin, n, _ in found:
+    for r in reads:
+        lang = r.lang
+        if not r.clear or not r.whole and len(reads) > 1:
+            # What is rejected, or a term among sentences, forms no segment of its own.
+            lang = last or usual[0][0]
+        last = lang
+        margin = r.margin if r.clear and r.lang == lang else 0
         if merged and merged[-1][0] == lang:
-            merged[-1][1] += margin
-            merged[-1][2] += n
+            merged[-1][1] = max(merged[-1][1], margin)
         else:
-            merged.append([lang, margin, n])
-    return [(lang, 1.0 - 0.5 * math.exp(-8.0 * margin / max(1, n))) for lang, margin, n in merged]
+            merged.append([lang, margin])
+    return [Segment(lang, model.sure(margin), lang, (lang,)) for lang, margin in merged]
 
 
 def _features(w: str) -> list[str]:
@@ -253,7 +329,7 @@ def _encode(text: str, lang: str) -> bytes:
     return text.encode("utf-32-le" if lang in WIDE else "utf-8", "surrogatepass")
 
 
-def _content(counts: Counter[str], lang: str) -> bytes:
+def _content(counts: Counter[str], lang: str) -> str:
     """Sentences for a dictionary: frequent ones and new words, the most frequent last, where they are cheapest to refer to."""
     out: list[str] = []
     size, seen = 0, Counter()
@@ -267,12 +343,31 @@ def _content(counts: Counter[str], lang: str) -> bytes:
         size += len(_encode(w, lang)) + len(_encode("\n", lang))
         if size >= DICTIONARY:
             break
-    return _encode("\n".join(reversed(out)), lang)
+    return "\n".join(reversed(out))
 
 
-def fit(pairs: Iterable[tuple[str, str]]) -> dict[str, bytes]:
-    """The dictionaries of the languages of ``(language, text)`` pairs."""
-    return {lang: _content(counts, lang) for lang, counts in cleaned(pairs).items() if counts}
+def fit(pairs: Iterable[tuple[str, str]]) -> tuple[dict[str, str], list[float]]:
+    """The dictionaries of the languages of ``(language, text)`` pairs, and the confidence in each class of margins.
+
+    The confidence is measured on sentences that are held out of dictionaries
+    of the others; it never falls as the margin grows.
+    """
+    counts = {lang: c for lang, c in cleaned(pairs).items() if c}
+    held = {lang: [w for w in sorted(c, key=lambda w: xxhash.xxh64_intdigest(w)) if xxhash.xxh64_intdigest(w, 5) % 5 == 0][:HELD_OUT] for lang, c in counts.items()}
+    out = {lang: set(ws) for lang, ws in held.items()}
+    trial = Classifier({lang: _content(Counter({w: n for w, n in c.items() if w not in out[lang]}), lang) for lang, c in counts.items()})
+    right, seen = [1.0] * len(MARGINS), [2.0] * len(MARGINS)
+    for lang, ws in held.items():
+        for w in ws:
+            if (read := trial.words(w)) and read[3]:
+                k = bisect_right(MARGINS, read[1]) - 1
+                seen[k] += 1
+                right[k] += read[0] == lang
+    sure, least = [], 0.0
+    for r, n in zip(right, seen):
+        least = max(least, r / n)
+        sure.append(least)
+    return {lang: _content(c, lang) for lang, c in counts.items()}, sure
 
 
 def sample(rows: DataFrame) -> list[tuple[str, str]]:
@@ -288,9 +383,9 @@ def sample(rows: DataFrame) -> list[tuple[str, str]]:
     return [(r["lang"], r["text"]) for r in chosen.select("lang", "text").distinct().sort(F.xxhash64("text"), "lang").limit(4 * SAMPLE * len(LANGUAGES)).collect()]
 
 
-def is_case(segs: list[tuple[str, float]], named: str | None) -> bool:
+def is_case(segs: list[Segment], named: str | None) -> bool:
     """Whether a text of these segments has a missing or wrong label or mixes languages; ``named`` is the label's language."""
-    return bool(segs) and (named is None or len(segs) > 1 or segs[0][0] != named)
+    return bool(segs) and bool(segs[0].close) and (named is None or len(segs) > 1 or named not in segs[0].close)
 
 
 def identify(rows: DataFrame, keys: list[str], cases_only: bool = False, raw: str | None = None) -> DataFrame:
@@ -299,30 +394,31 @@ def identify(rows: DataFrame, keys: list[str], cases_only: bool = False, raw: st
     ``lang`` is the raw label; the dictionaries are fitted on the rows themselves.
     With ``cases_only`` the texts with a right label and one language are left
     out, and with them placeholders and rows whose column ``raw`` was read with
-    the wrong encoding.
+    the wrong encoding; a rejected segment then gives its likeliest language.
     """
     named = rows.select(*keys, "text", label(F.col("lang")).alias("label"), *([raw] if raw else []))
     context = rows.sparkSession.sparkContext
-    shared = context.broadcast((fit(sample(named.select(F.col("label").alias("lang"), "text"))), count_units(named.select(raw), word_counts) if raw else None))
+    fitted = fit(sample(named.select(F.col("label").alias("lang"), "text")))
+    shared = context.broadcast((fitted, count_units(named.select(raw), word_counts) if raw else None))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        contents, frequencies = shared.value
-        model = Classifier(contents)
+        fitted, frequencies = shared.value
+        model = Classifier(*fitted)
         bytes_model = Model(frequencies) if raw else None
-        kept: dict[tuple[str, str | None], list[tuple[str, float]]] = {}
+        kept: dict[str, list[Segment]] = {}
         for pdf in frames:
             at, no, lang, conf = [], [], [], []
             raws = pdf[raw] if raw else pdf["text"]
-            for i, (t, hint, r) in enumerate(zip(pdf["text"], pdf["label"], raws)):
-                segs = kept.get((t, hint)) if len(t) < 200 else None
+            for i, (t, named, r) in enumerate(zip(pdf["text"], pdf["label"], raws)):
+                segs = kept.get(t)
                 if segs is None:
-                    segs = segments(t, model, hint)
+                    segs = segments(t, model)
                     if len(t) < 200 and len(kept) < 100_000:
-                        kept[t, hint] = segs
-                if cases_only and (not is_case(segs, hint) or is_placeholder(t) or bytes_model and damaged(r, bytes_model)):
+                        kept[t] = segs
+                if cases_only and (not is_case(segs, named) or is_placeholder(t) or bytes_model and damaged(r, bytes_model)):
                     continue
-                for k, (x, c) in enumerate(segs):
-                    at.append(i), no.append(k + 1), lang.append(x), conf.append(c)
+                for k, x in enumerate(segs):
+                    at.append(i), no.append(k + 1), lang.append(x.likely if cases_only else x.lang), conf.append(x.confidence)
             part = pdf.iloc[at]
             # An empty list would become a column of floats, which cannot be sent as strings.
             yield part[keys].assign(seg_no=no, lang=pd.Series(lang, dtype=object, index=part.index), confidence=conf, label=part["label"])

@@ -111,15 +111,40 @@ def corpus(n, seed):
 
 def test_languages_of_held_out_texts():
     noisy = [(x if i % 20 else random.Random(i).choice(list(LINES)), t) for i, (x, t) in enumerate(corpus(1500, 1))]
-    model = G.Classifier(G.fit(noisy))
-    right = sum(G.segments(t, model)[0][0] == x and len(G.segments(t, model)) == 1 for x, t in corpus(400, 2))
+    model = G.Classifier(*G.fit(noisy))
+    right = sum(G.segments(t, model)[0].lang == x and len(G.segments(t, model)) == 1 for x, t in corpus(400, 2))
     assert right >= 0.97 * 400
     mixed = "移交前应检查水泵。 Check the pump before handover. Alle Schweißnähte an der Pumpe sind zweimal zu streichen."
-    assert [x for x, _ in G.segments(mixed, model)] == ["zh", "en", "de"]
-    assert [x for x, _ in G.segments("Check the pump before handover. (水泵)", model)] == ["en"]
+    assert [x.lang for x in G.segments(mixed, model)] == ["zh", "en", "de"]
+    assert [x.lang for x in G.segments("Check the pump before handover. (水泵)", model)] == ["en"]
     for text in ("DWG NO.114", "REV.5", "ELEC-105-2", "40.3 kW", "±0.5", "", None, "Ø44±0.5", "А-017", "elec 434b"):
         assert G.segments(text, model) == []
-    assert all(0.5 <= c <= 1 for _, t in corpus(50, 3) for _, c in G.segments(t, model))
+    assert all(0.5 <= x.confidence <= 1 for _, t in corpus(50, 3) for x in G.segments(t, model))
+    assert model.confidence == sorted(model.confidence)
+
+
+def test_what_no_dictionary_fits_is_rejected():
+    model = G.Classifier(*G.fit(corpus(1500, 1)))
+    assert model.candidates("насос") == ["ru"] and set(model.candidates("pump")) == {"en", "de", "fr", "es"}
+    for text in ("Всички заварки трябва да бъдат почистени и боядисани два пъти.", "Tutte le saldature vicino alla pompa devono essere pulite e verniciate due volte.", "asdkj qwelkj zxmcn poiuq lkjas wpqoe."):
+        (found,) = G.segments(text, model)
+        assert found.lang == G.UND and found.confidence == 0.0
+        assert not G.is_case([found], "en") and not G.is_case([found], None)
+    # A narrow unit is no evidence against a label that is close, but it is against one that is not.
+    (narrow,) = G.segments("Xyz", model)
+    assert narrow.lang == G.UND and set(narrow.close) == {"en", "de", "fr", "es"}
+    assert not G.is_case([narrow], "de") and G.is_case([narrow], "zh") and G.is_case([narrow], None)
+    # A rejected sentence beside clear ones belongs to their segment.
+    assert [x.lang for x in G.segments("Check the pump before handover. Asdkj qwelkj zxmcn poiuq lkjas.", model)] == ["en"]
+
+
+def test_swapped_labels_of_short_texts_of_close_languages():
+    model = G.Classifier(*G.fit(corpus(1500, 1)))
+    short = [(x, t) for x, t in corpus(600, 9) if x in ("en", "de", "fr", "es") and len(t) < 60]
+    rnd = random.Random(4)
+    found = sum(G.is_case(G.segments(t, model), rnd.choice([y for y in ("en", "de", "fr", "es") if y != x])) for x, t in short)
+    false = sum(G.is_case(G.segments(t, model), x) for x, t in short)
+    assert found >= 0.98 * len(short) and false <= 0.01 * len(short)
 
 
 def test_labels(spark):
