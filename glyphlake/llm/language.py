@@ -106,6 +106,7 @@ _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
 _SPACED = re.compile("(?<=[぀-ヿ㐀-鿿])[ \t　]+(?=[぀-ヿ㐀-鿿])")
 _MIXED = re.compile("[A-Za-zÀ-ɏͰ-ӿ]*[Ͱ-ӿ][A-Za-zÀ-ɏͰ-ӿ]*")
 _BRACKETED = re.compile(r"\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]|【[^【】]*】")
+_OPENS = re.compile(r"[(（\[【]")
 _TERM_IN_BRACKETS = re.compile(r"[(（\[【][^.!?。！？]*[)）\]】]\W*")
 #: Codes, tags, figures with their units, file names; never words.
 _CODE = re.compile(
@@ -121,6 +122,8 @@ _TERMINAL = re.compile(r"[.!?。！？…।:]\W*$")
 
 def _fold(text: str) -> str:
     """Compatibility variants, invisible characters and look-alikes of Latin letters put right."""
+    if text.isascii():
+        return text
     text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
     if re.search("[Ͱ-ӿ]", text) and re.search("[A-Za-z]", text):
         cyrillic, latin = len(re.findall("[бгдёжзийлпфцчшщъыьэюя]", text.lower())), len(re.findall("[A-Za-z]", text))
@@ -135,10 +138,12 @@ def words(unit: str) -> str:
     """The words of a unit in lower case, without what says nothing of its language."""
     text = _CODE.sub(" ", _fold(unit))
     text = _UNIT.sub(" ", text)
-    inner = _BRACKETED.sub(" ", text)
-    if re.search(r"[^\W\d_]{2}", inner):
-        text = inner
-    text = _SPACED.sub("", text)
+    if _OPENS.search(text):
+        inner = _BRACKETED.sub(" ", text)
+        if re.search(r"[^\W\d_]{2}", inner):
+            text = inner
+    if not text.isascii():
+        text = _SPACED.sub("", text)
     return " ".join(w for w in _WORD.findall(text.lower()))
 
 

@@ -3,22 +3,28 @@ r"""Defective pairs of a source text and its translation.
 The checks are made in this order, and the first that holds is the defect.
 
 ``empty``: null, blank, marks only, or a placeholder.  ``refusal``: a sentence
-that says that nothing was translated.  ``copy``: the words of the source, in
-another format or after a short lead-in; sources of codes and figures are
-rightly repeated.  ``wrong_language``: the language posteriors of every sentence
-of the translation, by naive Bayes over character 2- to 5-grams, put another
-language than the asked one first by more than ``SURE`` nats.  ``truncated``:
-the translation breaks off.  The evidence is the likelihood of an end after the
-last characters (end-of-text n-grams of three lengths, with back-off), the
-figures and codes of the source that are missing, and how much shorter it is
-than translations of such sources are; it is summed up in nats and compared
-with ``BROKEN``.
-
-The models are counted over all rows and hashed into tables of fixed size.
-
-Defined cases: a null source is compared by language only; a null or unknown
-asked language never gives ``wrong_language``; texts of codes and figures have
-no language; repeated rows give one result; an empty table gives none.
+whose character n-grams are more likely, by more than ``REFUSES`` nats each on
+average, in sentences that refuse a translation (``REFUSALS``, the training
+sentences) than in all translations, while no sentence of the source is such.
+``copy``: the words of the source, in another format or after a short lead-in;
+sources of codes and figures are rightly repeated.  ``wrong_language``: the
+language posteriors of every sentence of the translation, by naive Bayes over
+character 2- to 5-grams, put another language than the asked one first by more
+than ``SURE`` nats, or by half of that if it is the one that the posterior of
+the source puts first.  ``truncated``: the translation breaks off.  The evidence
+is the likelihood of an end after the last characters (end-of-text n-grams of
+three lengths, with back-off), the figures and codes of the source that are
+missing, and how much shorter it is than translations of such sources are; it is
+summed up in nats and compared with ``BROKEN``.
+
+The models are counted over all rows and hashed into tables of fixed size; texts
+are judged in batches, so that the n-grams of a batch are looked up at once.
+
+Defined cases: a null source is compared by language only; with a null or
+unknown asked language a translation is in the wrong one if every sentence is
+clearly in the language of the source; texts of codes and figures have no
+language; repeated rows give one result; an empty table gives none; texts of any
+length are judged whole.
 """
 
 from __future__ import annotations
@@ -39,7 +45,6 @@ from glyphlake.llm.language import LANGUAGES, _fold, label
 from glyphlake.llm.placeholders import is_placeholder
 
 
-
 # Several checks ask the same of a text, and texts repeat.
 @lru_cache(maxsize=50_000)
 def worded(text: str) -> str:
@@ -56,8 +61,14 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return boundaries.sentences(text)
 
 
-#: Nats by which another language must lead; nats of evidence for a broken-off text.
-SURE, BROKEN = 6.0, 5.0
+#: Nats by which another language must lead; nats of evidence for a broken-off text; nats an n-gram for a refusal.
+SURE, BROKEN, REFUSES = 6.0, 5.0, 1.0
+#: Of a refusal's n-grams this part is taken to be of refusals, the rest of any text; no n-gram counts for more than ``MOST`` nats.
+OF_REFUSALS, MOST = 0.7, 4.0
+#: Sentences with this part of their n-grams in the training sentences are no ordinary ones; n-grams that short ones are filled up with.
+KNOWN_REFUSAL, FILL = 0.8, 8
+#: Pairs of all languages that each language's length ratio is mixed with.
+POOLED = 20
 #: Hash buckets of a language's n-grams and of the end n-grams.
 GRAMS, ENDS = 1 << 18, 1 << 20
 #: Lengths of the n-grams of the language model.
@@ -65,20 +76,21 @@ GRAM_SIZES = (2, 3, 4, 5)
 #: Characters of the end n-grams.
 TAILS = (4, 8, 14)
 
-# Wordings of refusals. Each line is one language; a text with one of them, and little else, is a refusal.
-REFUSALS = r"""
-(?:can(?:no|'|’)t|can not|could(?:n't| not)|won(?:'|’)t be able to|will not|unable to|not able to|do not have enough|decline[sd]? to|refuse[sd]? to|must decline)\W.{0,60}(?:translat|process|help|assist|provide|context|request|comply|fulfil)
-(?:was|were|been|has) (?:declined|refused|rejected|blocked)|(?:request|translation) (?:was )?(?:refused|declined|denied|rejected)|no translation (?:was|is|has been|could be)|as an? (?:ai|large|language)\b.{0,20}model|(?:sorry|apologies|apologize|unfortunately|regret)\W.{0,80}(?:translat|process|help|assist|request)
-(?:无法|不能|不便|拒绝|未能).{0,12}(?:翻译|处理|提供|完成|协助)|作为.{0,8}(?:语言模型|助手)|抱歉.{0,20}(?:翻译|处理|帮助)
-(?:翻訳|お応え|処理|対応|お手伝い).{0,10}(?:できません|できかね|致しかね|いたしかね)|言語モデルとして
-(?:번역|처리|도와|응답|제공).{0,12}(?:수 없|못합|어렵)|언어 모델
-(?:kann|darf|konnte).{0,50}nicht.{0,20}(?:übersetz|bearbeit|beantwort|helfen)|als (?:ki-?)?(?:sprach)?modell
-(?:ne (?:peux|puis|suis)|n['’]ai|impossible de|incapable de).{0,50}(?:tradui|répondre|traiter|aider|mesure)|en tant que (?:modèle|ia)
-(?:no (?:puedo|es posible|me es posible|estoy)|imposible).{0,50}(?:traduc|atender|procesar|ayudar|responder)|como (?:modelo|ia)\b
-(?:não (?:consigo|posso|é possível|estou)|impossível).{0,50}(?:traduz|atender|processar|ajudar|responder)|como (?:um )?modelo de linguagem
-не (?:могу|можем|удалось|в состоянии).{0,50}(?:перев|выполн|обработ|помочь|ответ)|как языковая модель
+# Sentences that refuse a translation, on which the n-grams of refusals are trained. Each line is one language.
+REFUSALS = """
+I'm sorry, but I can't translate this text. I am sorry, I cannot translate that. Unfortunately I cannot process the segment you sent me. I am unable to provide a translation of this content. As an AI language model I am not able to help with this request. As a language model I cannot assist with that. Apologies, I do not have enough context to translate this sentence. I won't be able to provide a translation for this item. I will not be able to translate this request. I refuse to translate it, as it violates the rules. Translation request refused: unsupported content. The translation was declined. This content was declined by the policy check, no translation was produced. No translation could be produced for this text. I must decline to translate this. Your request could not be processed. Sorry, this text cannot be translated. The translation was refused because of the content policy.
+抱歉，我无法翻译这段内容。对不起，我不能翻译这段文字。很抱歉，无法提供翻译。作为人工智能助手，我不能处理该请求。作为语言模型，我无法完成此请求。该内容无法翻译。翻译请求被拒绝。由于政策限制，未能提供翻译。很遗憾，未能为您提供译文。我无法处理您的请求。
+申し訳ありませんが、この文章は翻訳できません。申し訳ございませんが、翻訳することができません。この内容を翻訳することはできません。AI言語モデルとして、このご要望にはお応えできません。ご依頼の処理は対応できかねます。翻訳のリクエストは拒否されました。
+죄송합니다. 이 텍스트를 번역할 수 없습니다. 죄송하지만 이 내용은 번역할 수 없습니다. 번역을 제공할 수 없습니다. 인공지능 언어 모델로서 이 요청을 처리할 수 없습니다. 번역 요청이 거부되었습니다. 요청하신 내용을 도와드릴 수 없습니다.
+Es tut mir leid, ich kann diesen Text nicht übersetzen. Leider kann ich diesen Text nicht übersetzen. Entschuldigung, ich kann diesen Abschnitt nicht bearbeiten. Als KI-Sprachmodell kann ich bei dieser Anfrage nicht helfen. Die Übersetzung wurde abgelehnt. Es konnte keine Übersetzung erstellt werden.
+Je suis désolé, je ne peux pas traduire ce texte. Désolé, je ne peux pas traduire cette phrase. Malheureusement, je ne suis pas en mesure de traduire ce contenu. En tant que modèle de langage, je ne peux pas répondre à cette demande. La demande de traduction a été refusée. Il est impossible de traduire ce texte.
+Lo siento, no puedo traducir este texto. Lo siento, pero no puedo traducir esta frase. Lamentablemente no es posible traducir este contenido. Como modelo de lenguaje, no puedo atender esta solicitud. La solicitud de traducción fue rechazada. No me es posible ayudar con esta traducción.
+Desculpe, não consigo traduzir este texto. Desculpe, mas não posso traduzir esta frase. Infelizmente não é possível traduzir este conteúdo. Como modelo de linguagem, não posso atender a este pedido. O pedido de tradução foi recusado. Não consigo ajudar com esta tradução.
+Извините, я не могу перевести этот текст. К сожалению, я не могу перевести это предложение. Простите, перевести этот фрагмент невозможно. Как языковая модель, я не могу выполнить этот запрос. Запрос на перевод отклонён. Не удалось выполнить перевод.
+ขออภัย ฉันไม่สามารถแปลข้อความนี้ได้ ขอโทษ ไม่สามารถแปลเนื้อหานี้ได้ ในฐานะโมเดลภาษา ฉันไม่สามารถดำเนินการตามคำขอนี้ได้ คำขอแปลถูกปฏิเสธ ไม่สามารถให้คำแปลได้
+क्षमा करें, मैं इस पाठ का अनुवाद नहीं कर सकता। माफ़ कीजिए, मैं इस वाक्य का अनुवाद नहीं कर सकती। खेद है कि इस सामग्री का अनुवाद संभव नहीं है। एक भाषा मॉडल के रूप में मैं इस अनुरोध को पूरा नहीं कर सकता। अनुवाद का अनुरोध अस्वीकार कर दिया गया।
 """
-_REFUSAL = re.compile("|".join(f"(?:{x})" for x in REFUSALS.strip().split("\n")), re.I | re.S)
+_ALNUM = re.compile(r"[^\W_]+")
 _LEAD = re.compile(r"[\W_]*(?:[^\W\d_]+[ '’]?){0,4}[:：>=\-–—]+[\W_]*|[\W_]*")
 _FIGURE = re.compile(r"\d+")
 #: Figures and codes, which are alike to an end n-gram.
@@ -92,21 +104,17 @@ _TRAIL = re.compile(r"[\W_]+$")
 _BRACKET = re.compile(r"\s*[(（\[][^()（）\[\]]*[)）\]]\W*$")
 
 
-def is_refusal(text: str) -> bool:
-    """Whether a text says that nothing was translated."""
-    return len(text) < 400 and bool(_REFUSAL.search(text))
-
-
 def _bare(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKC", text.upper().lower()) if c.isalnum())
+    folded = text.upper().lower()
+    return "".join(_ALNUM.findall(folded if folded.isascii() else unicodedata.normalize("NFKC", folded)))
 
 
 def is_copy(source: str | None, text: str) -> bool:
     """Whether a text repeats the words of the source, perhaps after a lead-in."""
-    if not source or not worded(source):
+    if not source:
         return False
     a, b = _bare(source), _bare(text)
-    if not a or not b.endswith(a):
+    if not a or not b.endswith(a) or not worded(source):
         return False
     if a == b:
         return True
@@ -142,16 +150,46 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
 
 
-def _grams(w: str) -> np.ndarray:
-    """Buckets of the character 2- to 5-grams of some words."""
-    codes = _codes(f" {w} ")
-    return np.concatenate([tail_hashes(codes, n, GRAMS)[n - 1 :] for n in GRAM_SIZES])
+#: Units whose n-grams are looked up at once.
+BLOCK = 4096
+
+
+def grams(units: list[str], sizes: tuple[int, ...] = GRAM_SIZES) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams of some words each, one unit after the other, and where each unit's begin.
+
+    The units stand between zeros; an n-gram with a zero before its last
+    character reaches into another unit and is left out.
+    """
+    codes = _codes("\0" + "\0".join(f" {w} " for w in units) + "\0")
+    stop = np.flatnonzero(codes == 0)
+    since = np.arange(len(codes)) - np.repeat(stop, np.diff(np.r_[stop, len(codes)]))
+    unit = np.cumsum(codes == 0) - 1
+    found = [(unit[inside], tail_hashes(codes, n, GRAMS)[inside]) for n in sizes if len(inside := np.flatnonzero((since >= n) & (codes != 0)))]
+    if not found:
+        return np.empty(0, dtype=np.int64), np.zeros(len(units), dtype=np.int64)
+    at, hashes = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(at, kind="stable")
+    return hashes[order], np.searchsorted(at[order], np.arange(len(units)))
+
+
+def _value(figure: str) -> str:
+    """A figure without leading zeros, in ASCII digits."""
+    return (figure if figure.isascii() else "".join(str(unicodedata.digit(c, 0)) for c in figure)).lstrip("0") or "0"
 
 
 def _missing(source: str, text: str) -> int:
     """How many figures and codes of the source a text does not have."""
-    have = {int(x) for x in _FIGURE.findall(_IGNORED.sub("", text)) if len(x) < 12}
-    return sum(any(len(x) < 12 and int(x) not in have for x in _FIGURE.findall(c)) for c in set(_CODE.findall(_IGNORED.sub("", source))))
+    asked = set(_CODE.findall(source if source.isascii() else _IGNORED.sub("", source)))
+    if not asked:
+        return 0
+    have = {_value(x) for x in _FIGURE.findall(text if text.isascii() else _IGNORED.sub("", text))}
+    return sum(any(_value(x) not in have for x in _FIGURE.findall(c)) for c in asked)
+
+
+def units_of(text: str) -> list[str]:
+    """The words of each sentence of a text."""
+    spans = sentences(text)
+    return [words(text)] if len(spans) == 1 else [words(text[a:b]) for a, b in spans]
 
 
 @lru_cache(maxsize=50_000)
@@ -160,6 +198,12 @@ def _content(text: str) -> float:
     return sum(3.0 if "⺀" <= c <= "鿿" or "가" <= c <= "힣" else 1.6 if "぀" <= c <= "ヿ" else 1.0 for c in words(text) if c != " ")
 
 
+def refusal_counts() -> np.ndarray:
+    """The n-grams of the training sentences."""
+    said = [w for line in REFUSALS.strip().split("\n") for a, b in boundaries.sentences(line) if (w := words(line[a:b]))]
+    return np.bincount(grams(said)[0], minlength=GRAMS).astype(float)
+
+
 def count_models(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """N-grams by language; tails inside and at the end of sentences; moments of the length ratios by language."""
 
@@ -167,25 +211,29 @@ def count_models(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         langs = np.zeros((len(LANGUAGES), GRAMS), dtype=np.int64)
         tails = np.zeros((2 * len(TAILS), ENDS), dtype=np.int64)
         ratios = np.zeros((len(LANGUAGES), 3))
+        said = np.minimum(refusal_counts(), 1.0)
         no = {x: i for i, x in enumerate(LANGUAGES)}
         pad = "\0" * TAILS[-1]
         for pdf in frames:
             spoken: dict[int, list[str]] = {}
             ended: list[str] = []
             for source, text, lang in zip(pdf["source"], pdf["text"], pdf["lang"]):
-                if is_placeholder(text) or is_refusal(text):
+                if is_placeholder(text):
                     continue
                 k = no.get(lang)
-                w = worded(text)
-                if k is not None and w:
-                    spoken.setdefault(k, []).append(w)
+                spans = sentences(text)
+                if k is not None and worded(text):
+                    spoken.setdefault(k, []).extend(w for w in units_of(text) if w)
                     if source and (a := _content(source)) > 12:
                         r = math.log(max(1.0, _content(text)) / a)
                         if abs(r) < 1.5:
                             ratios[k] += (1, r, r * r)
-                ended += [shape(text[a:b]) for a, b in sentences(text)]
+                ended += [shape(text[a:b]) for a, b in spans]
             for k, ws in spoken.items():
-                langs[k] += np.bincount(_grams(" ".join(ws)), minlength=GRAMS)
+                hashes, starts = grams(ws)
+                counts = np.diff(np.r_[starts, len(hashes)])
+                refusing = np.add.reduceat(np.r_[said[hashes], 0.0], starts) * (counts > 0) >= KNOWN_REFUSAL * counts
+                langs[k] += np.bincount(hashes[~np.repeat(refusing, counts)], minlength=GRAMS)
             codes = _codes(pad + pad.join(ended) + "\0")
             inside = codes != 0
             at_end = np.flatnonzero(inside[:-1] & ~inside[1:])
@@ -215,34 +263,58 @@ class Judge:
         langs, self.tails, ratios = models
         totals = langs.sum(axis=1, keepdims=True)
         self.known = [x for x, t in zip(LANGUAGES, totals[:, 0]) if t > 0]
-        self.log = np.log((langs + 0.05) / (totals + 0.05 * GRAMS))[[LANGUAGES.index(x) for x in self.known]]
-        n = np.maximum(1.0, ratios[:, 0])
-        mean = ratios[:, 1] / n
-        self.ratio = {x: (mean[i], math.sqrt(max(0.02, ratios[i, 2] / n[i] - mean[i] ** 2))) for i, x in enumerate(LANGUAGES) if ratios[i, 0] > 20}
-        self._lead: dict[tuple[str, str], float] = {}
+        self.at = {x: i for i, x in enumerate(self.known)}
+        # N-grams by rows, so that those of one bucket stand together.
+        self.log = np.ascontiguousarray(np.log((langs + 0.05) / (totals + 0.05 * GRAMS))[[LANGUAGES.index(x) for x in self.known]].T, dtype=np.float32)
+        self.refuses = self._refusals(langs.sum(axis=0))
+        n, pooled = ratios[:, 0], ratios.sum(axis=0) / max(1.0, ratios[:, 0].sum())
+        spread = max(0.02, pooled[2] - pooled[1] ** 2)
+        mean = (ratios[:, 1] + POOLED * pooled[1]) / (n + POOLED)
+        square = (ratios[:, 2] + POOLED * (spread + mean**2)) / (n + POOLED)
+        self.ratio = {x: (float(mean[i]), math.sqrt(max(0.02, float(square[i] - mean[i] ** 2)))) for i, x in enumerate(LANGUAGES)} if n.sum() else {}
         self._end: dict[str, float] = {}
 
-    def lead(self, w: str, lang: str) -> float:
-        """Nats by which the best language leads the asked one for some words."""
-        hit = self._lead.get((w, lang))
-        if hit is None:
-            scores = self.log[:, _grams(w)].sum(axis=1)
-            hit = float(scores.max() - scores[self.known.index(lang)])
-            if len(self._lead) < 200_000:
-                self._lead[w, lang] = hit
-        return hit
-
-    def other_language(self, text: str, lang: str | None) -> bool:
-        """Whether no sentence of a text is in the asked language."""
-        if lang not in self.known:
+    @staticmethod
+    def _refusals(ordinary: np.ndarray) -> np.ndarray:
+        """For each n-gram, the nats by which it is likelier in refusals than in all translations."""
+        of = refusal_counts()
+        common = (ordinary + 1.0) / (ordinary.sum() + GRAMS)
+        return np.minimum(MOST, np.log(1 - OF_REFUSALS + OF_REFUSALS * (of / of.sum()) / common)).astype(np.float32)
+
+    def scores(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each unit: the log-likelihood in every language, and the nats an n-gram for a refusal."""
+        by_lang, refusing = np.zeros((len(units), len(self.known)), dtype=np.float32), np.zeros(len(units), dtype=np.float32)
+        for i in range(0, len(units), BLOCK):
+            hashes, starts = grams(units[i : i + BLOCK])
+            counts = np.diff(np.r_[starts, len(hashes)])
+            some = np.flatnonzero(counts)
+            if len(some):
+                by_lang[i + some] = np.add.reduceat(self.log[hashes], starts[some], axis=0)
+                refusing[i + some] = np.add.reduceat(self.refuses[hashes], starts[some]) / (counts[some] + FILL)
+        return by_lang, refusing
+
+    def _refused(self, refusing: np.ndarray) -> bool:
+        return bool(len(refusing)) and float(refusing.max()) > REFUSES
+
+    def other_language(self, scores: np.ndarray, lang: str | None, source: str | None) -> bool:
+        """Whether no sentence, given the scores of those that have words, is in the asked language."""
+        if not len(scores) or not self.known:
             return False
-        seen = False
-        for a, b in sentences(text):
-            if w := words(text[a:b]):
-                seen = True
-                if self.lead(w, lang) <= SURE:
-                    return False
-        return seen
+        best = scores.argmax(axis=1)
+        if lang not in self.at:
+            if len(self.known) < 2 or (best != best[0]).any() or (prompt := self._language(source)) is None:
+                return False
+            second = np.partition(scores, -2, axis=1)[:, -2]
+            return bool(best[0] == prompt and (scores.max(axis=1) - second > SURE).all())
+        lead = scores.max(axis=1) - scores[:, self.at[lang]]
+        if (lead > SURE).all():
+            return True
+        return bool((lead > SURE / 2).all() and (best == best[0]).all() and self._language(source) == best[0])
+
+    def _language(self, text: str | None) -> int | None:
+        """The language that the posterior of a source puts first; None if it has no words."""
+        units = [w for w in units_of(text) if w] if text and worded(text) else []
+        return int(self.scores([" ".join(units)])[0][0].argmax()) if units else None
 
     def end(self, text: str) -> float:
         """The probability that a text ends where it does."""
@@ -257,22 +329,6 @@ class Judge:
                 self._end[tail] = p
         return float(p)
 
-    def evidence(self, source: str | None, text: str, lang: str | None) -> tuple[float, int, float]:
-        """Nats against an end here; missing figures and codes; deviations by which the text is too short."""
-        last = sentences(text)[-1:]
-        whole = _BRACKET.sub("", text)
-        p = max(self.end(text[last[0][0] :]) if last else 1.0, self.end(whole) if whole != text else 0.0)
-        if not source:
-            return -math.log(max(p, 1e-6)), 0, 0.0
-        missing = _missing(source, text)
-        z = 0.0
-        a = _content(source)
-        if lang in self.ratio and a > 5:
-            mean, sd = self.ratio[lang]
-            # The ratio of short texts, mere terms, varies more.
-            z = (mean - math.log(max(1.0, _content(text)) / a)) / math.sqrt(sd * sd + 2.5 / a)
-        return -math.log(max(p, 1e-6)), missing, z
-
     def is_truncated(self, source: str | None, text: str, lang: str | None) -> bool:
         if not worded(text) and (not source or not worded(source)):
             return False
@@ -280,27 +336,47 @@ class Judge:
 
     def broken(self, source: str | None, text: str, lang: str | None) -> float:
         """All evidence that a text breaks off, in nats."""
-        end, missing, z = self.evidence(source, text, lang)
-        marks = 0.0
+        last = sentences(text)[-1:]
+        whole = _BRACKET.sub("", text)
+        p = max(self.end(text[last[0][0] :]) if last else 1.0, self.end(whole) if whole != text else 0.0)
+        end, missing, z, marks = -math.log(max(p, 1e-6)), 0, 0.0, 0.0
         if source:
+            missing = _missing(source, text)
+            a = _content(source)
+            if lang in self.ratio and a > 5:
+                mean, sd = self.ratio[lang]
+                # The ratio of short texts, mere terms, varies more.
+                z = (mean - math.log(max(1.0, _content(text)) / a)) / math.sqrt(sd * sd + 2.5 / a)
             if _OPEN_END.search(text) and not _OPEN_END.search(source):
                 marks = 3.0
             elif _FULL_STOP.search(source) and not _FULL_STOP.search(text):
                 marks = 1.0
         # A code may be left out of a complete text; a text that is also short or ends oddly lacks it as it breaks off.
         weight = 3.0 if end > 0.5 or z > 1.2 else 1.5
-        return end + weight * min(missing, 2) + 2.0 * max(0.0, z - 0.5) + marks
-
-    def defect(self, source: str | None, text: str | None, lang: str | None) -> str | None:
-        if is_placeholder(text):
-            return "empty"
-        if is_refusal(text):
-            return "refusal"
-        if is_copy(source, text):
-            return "copy"
-        if self.other_language(text, lang):
-            return "wrong_language"
-        return "truncated" if self.is_truncated(source, text, lang) else None
+        return end + weight * (1 + math.log2(missing) if missing else 0.0) + 2.0 * max(0.0, z - 0.5) + marks
+
+    def judge(self, sources: list[str | None], texts: list[str | None], langs: list[str | None]) -> list[str | None]:
+        """The defect of each pair."""
+        out: list[str | None] = ["empty" if is_placeholder(t) else None for t in texts]
+        units: list[str] = []
+        spans: dict[int, slice] = {}
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                mine = [w for w in units_of(t) if w]
+                spans[i] = slice(len(units), len(units) + len(mine))
+                units += mine
+        by_lang, refusing = self.scores(units)
+        for i, own in spans.items():
+            source, text, lang = sources[i], texts[i], langs[i]
+            if self._refused(refusing[own]) and not (source and self._refused(self.scores([w for w in units_of(source) if w])[1])):
+                out[i] = "refusal"
+            elif is_copy(source, text):
+                out[i] = "copy"
+            elif self.other_language(by_lang[own], lang, source):
+                out[i] = "wrong_language"
+            elif self.is_truncated(source, text, lang):
+                out[i] = "truncated"
+        return out
 
 
 def defects(rows: DataFrame, key: str, source: str, text: str, lang: str) -> DataFrame:
@@ -311,7 +387,7 @@ def defects(rows: DataFrame, key: str, source: str, text: str, lang: str) -> Dat
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Judge(shared.value)
         for pdf in frames:
-            found = [judge.defect(*x) for x in zip(pdf["source"], pdf["text"], pdf["lang"])]
+            found = judge.judge(*(pdf[c].tolist() for c in ("source", "text", "lang")))
             yield pd.DataFrame({"row_id": pdf["row_id"], "defect": found}).dropna(subset=["defect"])
 
     return named.mapInPandas(run, "row_id long, defect string").distinct().withColumnRenamed("row_id", key)

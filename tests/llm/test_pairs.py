@@ -22,7 +22,47 @@ def rows(n, seed):
 def test_placeholders_and_refusals():
     assert all(map(is_placeholder, [None, "", " ", "N/A", "tbd", "待翻译", "[ ]", "...", '""', "_____", "(empty)", "-", "\n"]))
     assert not any(map(is_placeholder, ["0", "±0.5", "蝶阀", "none of it"]))
-    assert all(map(P.is_refusal, REFUSED)) and not P.is_refusal("Do not cover the beam, it cannot be reached from outside.")
+
+
+@pytest.fixture(scope="module")
+def judge(spark):
+    ordinary = ["The valve could not be closed, so the work has been rejected.", "It was refused by the site office.", "The water could not be drained from the tank.", "Process water flows through the pump.", "The contractor could not process the order in this context."]
+    data = [(i, s, t, x) for i, s, t, x in rows(1500, 1)] + [(9000 + i, "x", t, "en") for i in range(80) for t in ordinary]
+    df = spark.createDataFrame(data, "id long, source string, text string, lang string")
+    return P.Judge(P.count_models(df))
+
+
+def refusing(judge, text):
+    return judge._refused(judge.scores([w for w in P.units_of(text) if w])[1])
+
+
+def test_refusals_are_told_by_their_n_grams(judge):
+    unseen = ["Sorry, but I'm not able to translate this sentence.", "ขออภัย ฉันไม่สามารถแปลประโยคนี้ได้", "क्षमा करें, मैं इसका अनुवाद नहीं कर सकता।", "Lo siento, no puedo traducir la frase."]
+    assert [t for t in REFUSED + unseen if not refusing(judge, t)] == []
+    for text in ("Drawing transmittal has been rejected. See note 4.", "The pump could not process the context water.", "Do not cover the beam, it cannot be reached from outside.", "I"):
+        assert not refusing(judge, text), text
+    # A refusal of any length, and none if the source says the same.
+    long = "I am sorry, I cannot translate this text. " + "Rule 5 of the site applies to the pump and the valve in the plant room. " * 8
+    assert len(long) > 401
+    said = "Извините, я не могу перевести этот текст."
+    assert judge.judge(["Check the valve.", said], [long, "I'm sorry, but I can't translate this text."], ["en", "en"])[0] == "refusal"
+    assert judge.judge([said], ["I'm sorry, but I can't translate this text."], ["en"]) != ["refusal"]
+
+
+def test_figures_of_any_length_can_be_missing():
+    assert P._missing("Order 123456789012 of 0012", "Bestellung vom 12") == 1
+    assert P._missing("Order 123456789012345678901234567890", "Auftrag 123456789012345678901234567890") == 0
+    assert P._missing("९ ५", "9 5") == 0 and P._missing("9" * 5000, "x") == 1
+
+
+def test_ratios_of_rare_languages_are_mixed_with_those_of_all(judge):
+    assert set(judge.ratio) == set(P.LANGUAGES)
+
+
+def test_prompt_posterior_decides_without_an_asked_language(judge):
+    source = LINES["de"][1].format("Pumpe")
+    assert judge.judge([source], ["Die Klappe ist beidseitig zu kennzeichnen."], [None]) == ["wrong_language"]
+    assert judge.judge([source], [LINES["en"][2].format("pump")], [None]) == [None]
 
 
 def test_copies():
