@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.mojibake import BUCKETS, Model, _bucket, count_units, damaged, word_counts
+from glyphlake.llm.mojibake import SPACE, Model, _bucket, count_units, damaged, word_counts
 
 #: Nats that a replaced letter costs.
 SWAP = 2.0
@@ -117,8 +117,8 @@ class Forms:
     """The consistent forms of texts, under a table with the frequencies of words and of pairs."""
 
     def __init__(self, table: np.ndarray) -> None:
-        self.words = Model(table[:BUCKETS])
-        self.table = table[BUCKETS:]
+        self.words = Model(table[:SPACE])
+        self.table = table[SPACE:]
         self._pair: dict[str, float] = {}
         self._token: dict[tuple[str, str], str] = {}
 

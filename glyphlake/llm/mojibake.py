@@ -10,9 +10,20 @@ have in the whole corpus.  A stretch counts as damaged if a reading makes the
 text around it more likely than it stands by more than ``MARGIN`` nats; a lost
 byte or a C1 control is damage whether or not it can be restored.
 
+The search is exact: hypotheses that no later byte can tell apart are one state.
+These are the last character between pairs, the open word as long as some word
+of the corpus begins so (prefixes are counted, too), and beyond that only the
+open word's length, on which alone the cost of an unseen word depends.  Lost
+bytes are wildcards in any number; a stretch (or, among plain letters, a word)
+that lost more than half of its bytes is damaged, but nothing is left to read it
+by.
+
 The frequencies are counted over all texts of the table, garbled ones included,
-and kept in a hashed table of fixed size (``BUCKETS`` counters, 4 MB), which
-bounds what is collected and broadcast whatever the size of the corpus.
+and kept in hashed tables of fixed size (``ROWS`` of ``BUCKETS`` counters and one
+for the prefixes, 24 MB), which bounds what is collected and broadcast whatever
+the size of the corpus.  A unit's frequency is the least of its counters; it
+counts as known only above the floor that ``NOISE`` of all counters exceed, so
+that a full table makes rare words unknown and not all words known.
 
 Defined cases: null and empty texts, and texts of ASCII characters only, are
 undamaged; whole texts are read; repeated rows give one result; format codes
@@ -22,13 +33,13 @@ and controls to be found.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -36,7 +47,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 20
+#: Counters of a row, rows with hashes of their own, and the part of the counters that may exceed the floor of the known.
+BUCKETS, ROWS, NOISE = 1 << 21, 2, 0.1
+#: Counters of one way of counting: the rows and the prefixes.
+SPACE = (ROWS + 1) * BUCKETS
+#: Marks a counted prefix of a word; letters of the longest word (no language has longer ones: what goes on is another word).
+PREFIX, LONGEST = "\x02", 200
 #: Nats by which a reading must beat the text as it stands.
 MARGIN = 3.0
 
@@ -68,6 +84,16 @@ def _bucket(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42) & (BUCKETS - 1)
 
 
+def _buckets(unit: str | int) -> tuple[int, ...]:
+    """The counters of a unit, one a row, or of a prefix; a number is a counter itself."""
+    if isinstance(unit, int):
+        return (unit,)
+    h = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), 42)
+    if unit[0] == PREFIX:
+        return (ROWS * BUCKETS + (h & (BUCKETS - 1)),)
+    return h & (BUCKETS - 1), BUCKETS + ((h >> 32) & (BUCKETS - 1))
+
+
 def tokens(text: str) -> Iterator[str]:
     """The counted units of a text: words with a letter beyond ASCII, symbols, character pairs of scripts without blanks."""
     for w in WORD.findall(text):
@@ -87,29 +113,35 @@ def tokens(text: str) -> Iterator[str]:
             yield w
 
 
-def word_counts(texts: Iterable[str]) -> Counter[str]:
-    """The units of some texts."""
+def word_counts(texts: Iterable[str]) -> Counter[str | int]:
+    """The units of some texts, and the counters of the prefixes of their words."""
     whole: Counter[str] = Counter()
     for t in texts:
         if not t.isascii():
             whole.update(WORD.findall(t))
-    units: Counter[str] = Counter()
+    units: Counter[str | int] = Counter()
     for w, n in whole.items():
         for u in tokens(w):
             units[u] += n
+        if w[0].isalpha() and not WIDE.search(w):
+            h = xxhash.xxh64(PREFIX.encode(), 42)
+            for c in w[:LONGEST]:
+                h.update(c.encode("utf-8", "surrogatepass"))
+                units[ROWS * BUCKETS + (h.intdigest() & (BUCKETS - 1))] += n
     return units
 
 
 def count_units(texts: DataFrame, *counters: Callable[[Iterable[str]], Counter[str]]) -> np.ndarray:
-    """Frequencies over all texts (one string column), hashed into ``BUCKETS`` counters for each way of counting."""
-    name, size = texts.columns[0], BUCKETS * len(counters)
+    """Frequencies over all texts (one string column), hashed into ``SPACE`` counters for each way of counting."""
+    name, size = texts.columns[0], SPACE * len(counters)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size, dtype=np.int64)
         for pdf in frames:
             for k, counter in enumerate(counters):
                 for u, n in counter(pdf[name]).items():
-                    total[k * BUCKETS + _bucket(u)] += n
+                    for b in _buckets(u):
+                        total[k * SPACE + b] += n
         hit = np.flatnonzero(total)
         yield pd.DataFrame({"h": hit.astype("int32"), "n": total[hit]})
 
@@ -125,20 +157,34 @@ class Model:
 
     def __init__(self, table: np.ndarray) -> None:
         self.table = table
-        self.total = math.log(max(1.0, float(table.sum())))
+        rows = table[: ROWS * BUCKETS].reshape(ROWS, BUCKETS)
+        place = int((1 - NOISE) * (BUCKETS - 1))
+        self.floor = tuple(int(np.partition(r, place)[place]) if np.count_nonzero(r) > NOISE * BUCKETS else 0 for r in rows)
+        self.total = math.log(max(1.0, float(rows[0].sum())))
+        self._starts: dict[str, bool] = {}
         self._memo: dict[str, float] = {}
         self.runs: dict[str, list[tuple[int, int, str]]] = {}
 
     def unit(self, u: str) -> float:
         v = self._memo.get(u)
         if v is None:
-            n = int(self.table[_bucket(u)])
+            counts = [int(self.table[b]) for b in _buckets(u)]
+            n = min(counts) if all(c > f for c, f in zip(counts, self.floor)) else 0
             # An unseen word costs more the longer it is: it must be spelled.
             v = math.log(n) - self.total if n else -self.total - 1.5 - (2.5 * len(u) if u[0] < "⺀" else 4.0)
             if len(self._memo) < 200_000:
                 self._memo[u] = v
         return v
 
+    def starts(self, word: str) -> bool:
+        """Whether some word of the corpus begins so."""
+        v = self._starts.get(word)
+        if v is None:
+            v = bool(self.table[_buckets(PREFIX + word)[0]])
+            if len(self._starts) < 200_000:
+                self._starts[word] = v
+        return v
+
     def score(self, text: str) -> float:
         return sum(map(self.unit, tokens(text)))
 
@@ -158,51 +204,60 @@ def _arc(piece: bytes, right: str) -> str:
 
 #: Bytes a character may take, by encoding.
 WIDTHS = {"utf-8": (1, 2, 3, 4), "gbk": (1, 2), "shift_jis": (1, 2), "cp949": (1, 2), "euc_jp": (1, 2), "big5": (1, 2)}
-#: Hypotheses kept at each byte. The lattice has one path per byte unless bytes are lost; in words, whose
-#: frequency is only known at their end, more must be kept than between character pairs.
-BEAM, WIDE_BEAM = 300, 12
 
 
 @lru_cache(maxsize=4096)
 def _wild(pattern: tuple[int | None, ...], right: str) -> tuple[str, ...]:
     """The characters whose bytes match a pattern with lost bytes (``None``)."""
     free = [i for i, b in enumerate(pattern) if b is None]
-    if len(free) > 2 or (len(free) == 2 and len(pattern) > 2):
+    # Where all bytes of a wide encoding are lost, only Latin letters among others can be told; they take two bytes at most.
+    if len(free) == len(pattern) > 2:
         return ()
     out = []
-    for x in range(128 ** len(free)):
+    for lost in product(*(range(0x80, 0xC0) if right == "utf-8" and i else range(0x80, 0x100) for i in free)):
         piece = bytearray(b or 0 for b in pattern)
-        for i in free:
-            piece[i], x = 0x80 + x % 128, x // 128
+        for i, x in zip(free, lost):
+            piece[i] = x
         c = _arc(bytes(piece), right)
-        # Where every byte is lost, only letters that stand among others can be told.
-        if c and (c.isalpha() or c in "±°²³½×·，。；：、（）「」“”…—") and (len(free) < len(pattern) or c < "\u0180"):
+        if c and (c.isalpha() or c in "±°²³½×·，。；：、（）「」“”…—") and (len(free) < len(pattern) or right not in WIDTHS or c < "\u0180"):
             out.append(c)
     return tuple(out)
 
 
-def viterbi(data: list[int | None], right: str, model: Model, left: str = "", after: str = "") -> str | None:
+def viterbi(data: list[int | None], right: str, model: Model, left: str = "", after: str = "", known: bool = False) -> str | None:
     """The best decoding of a byte lattice between two contexts; None if there is no path.
 
-    A hypothesis is (score of the closed units, open word, text).
+    A state is the last character, if pairs are counted with it, and the open
+    word; of an open word that no word of the corpus begins with, only the
+    length and whether it is ASCII.  Each state keeps its best ``(score of the
+    closed units, open word, text)``; of equal ones the least text.  With ``known``
+    only words that some word of the corpus begins with are followed.
     """
     n, unit = len(data), model.unit
-    beam = WIDE_BEAM if right in WIDTHS and not (right == "utf-8" and data.count(None) > 1) else BEAM
+
+    def closed(word: str) -> float:
+        return unit(word) if word and not word.isascii() else 0.0
 
     def add(h: tuple[float, str, str], c: str) -> tuple[float, str, str]:
         score, word, text = h
         if WIDE.match(c):
             prev = text[-1:] or left[-1:]
-            return score + unit(prev + c if WIDE.match(prev) else c) + (unit(word) if word and not word.isascii() else 0.0), "", text + c
+            return score + unit(prev + c if WIDE.match(prev) else c) + closed(word), "", text + c
         if c.isalpha():
             return score, word + c, text + c
-        return score + (unit(word) if word and not word.isascii() else 0.0) + (unit(c) if c > "\x7f" else 0.0), "", text + c
+        return score + closed(word) + (unit(c) if c > "\x7f" else 0.0), "", text + c
+
+    def state(word: str, text: str) -> tuple:
+        if not word:
+            return (text[-1:] if WIDE.match(text[-1:] or left[-1:] or " ") else "",)
+        return (word,) if model.starts(word) else (len(word), word.isascii())
 
-    beams: list[list[tuple[float, str, str]]] = [[] for _ in range(n + 1)]
-    beams[0] = [(0.0, "" if WIDE.search(left) else left, "")]
+    first = "" if WIDE.search(left) else left
+    steps: list[dict[tuple, tuple[float, str, str]]] = [{} for _ in range(n + 1)]
+    steps[0] = {(): (0.0, first, "")}
     for i in range(n):
-        best = beams[i] if len(beams[i]) <= beam else heapq.nlargest(beam, beams[i])
-        for width in WIDTHS.get(right, (1,)) if best else ():
+        here, steps[i] = steps[i], {}
+        for width in WIDTHS.get(right, (1,)) if here else ():
             if i + width > n:
                 break
             piece = tuple(data[i : i + width])
@@ -212,11 +267,19 @@ def viterbi(data: list[int | None], right: str, model: Model, left: str = "", af
                 cs = _wild(piece, right)
             else:
                 cs = (c,) if (c := _arc(bytes(piece), right)) else ()
-            many = None in piece
-            beams[i + width] += [add(h, c) for h in best for c in cs if not many or c.isalpha() or not (h[2] or left) and after[:1] in ("", "C", "F")]
-        beams[i] = []
-    ends = [(v + (unit(word + after) if word and not (word + after).isascii() else 0.0), text) for v, word, text in beams[n]]
-    return max(ends)[1] if ends else None
+            many, there = None in piece, steps[i + width]
+            for h in here.values():
+                for c in cs:
+                    if not many or c.isalpha() or not (h[2] or left) and after[:1] in ("", "C", "F"):
+                        new = add(h, c)
+                        key = state(new[1], new[2])
+                        if known and len(key) > 1:
+                            continue
+                        old = there.get(key)
+                        if old is None or (-new[0], new[2]) < (-old[0], old[2]):
+                            there[key] = new
+    ends = [(-v - closed(word + after if word else ""), text) for v, word, text in steps[n].values()]
+    return min(ends)[1] if ends else None
 
 
 WIDE = re.compile(f"[{_CJK}]")
@@ -263,10 +326,10 @@ def _decode(data: list[int | None], right: str, model: Model, left: str, after:
 def _edges(text: str, a: int, b: int) -> tuple[str, str]:
     """The word parts that stand directly before and after a stretch."""
     i = a
-    while i > 0 and a - i < 20 and (text[i - 1].isalpha() or unicodedata.category(text[i - 1]) == "Mn"):
+    while i > 0 and a - i < LONGEST and (text[i - 1].isalpha() or unicodedata.category(text[i - 1]) == "Mn"):
         i -= 1
     j = b
-    while j < len(text) and j - b < 20 and text[j].isalpha():
+    while j < len(text) and j - b < LONGEST and text[j].isalpha():
         j += 1
     return text[i:a], text[b:j]
 
@@ -278,15 +341,13 @@ def _best(text: str, a: int, b: int, readings: tuple[tuple[str, str], ...], mode
     """The restored stretch, if a reading (or two, one upon the other) beats it as it stands."""
     run = text[a:b]
     left, after = _edges(text, a, b)
-    lost = run.count(LOST)
     stands = model.score(left + run + after)
     best, out = stands + margin, None
     for wrong, right in readings:
         s = run
         for _ in range(3):
-            # Many lost bytes leave only UTF-8 enough structure to be read.
-            data = _bytes(s, wrong) if lost <= 3 or right == "utf-8" else None
-            if data is None or all(x is not None and x < 0x80 for x in data):
+            data = _bytes(s, wrong)
+            if data is None or all(x is not None and x < 0x80 for x in data) or 2 * data.count(None) > len(data):
                 break
             s2 = _decode(data, right, model, left, after)
             if s2 is None or s2 == s or (right in ("cp1251", "koi8_r", "cp866") and not CYRILLIC.fullmatch(s2)):
@@ -345,7 +406,7 @@ def _lone(text: str, a: int, b: int, model: Model) -> str | None:
     """A few wide characters among Latin letters, read as what they spell there."""
     left, after = _edges(text, a, b)
     run = text[a:b]
-    if any(x and CJK_RUN.match(x) for x in (text[:a].rstrip()[-1:], text[b : b + 20].lstrip()[:1])):
+    if any(x and CJK_RUN.match(x) for x in (text[:a].rstrip()[-1:], text[b:].lstrip()[:1])):
         return None
     best, out = model.score(left + run + after) + MARGIN, None
     for wrong, right in R_LONE:
@@ -374,6 +435,23 @@ def _wide(text: str, start: int, end: int, model: Model) -> list[tuple[int, int,
     return [(start + a, start + b, s) for a, b, s in hit]
 
 
+def _lost_word(text: str, at: int, model: Model) -> list[tuple[int, int, str | None]]:
+    """What was lost from ``at`` on in a word, read in the Latin page as a word of the corpus."""
+    a = at
+    while a > 0 and at - a < LONGEST and (text[a - 1].isalpha() or text[a - 1] == LOST):
+        a -= 1
+    b = at + 1
+    while b < len(text) and b - a < LONGEST and (text[b].isalpha() or text[b] == LOST):
+        b += 1
+    data = _bytes(text[a:b], "cp1252")
+    if b - a > 1 and data is not None and 2 * data.count(None) <= len(data):
+        word = viterbi(data, "cp1252", model, known=True)
+        if word is not None and len(word) == b - a and model.knows(word):
+            stop = text.rindex(LOST, at, b) + 1
+            return [(at, stop, word[at - a : stop - a])]
+    return [(i, i + 1, None) for i in range(at, b) if text[i] == LOST]
+
+
 def damaged(text: str | None, model: Model) -> list[tuple[int, int, str | None]]:
     """``(start, end, restored)`` of every damaged stretch; ``restored`` is None if nothing fits."""
     if not text or text.isascii() or not SUSPECT.search(text):
@@ -407,11 +485,9 @@ def damaged(text: str | None, model: Model) -> list[tuple[int, int, str | None]]
         a, b = m.span()
         run = m.group()
         if sum(c > "\x7f" for c in run) < 2:
+            # One byte among plain letters; all that are lost in a word are sought at once.
             if LOST in run and free(*(x := (a + run.index(LOST), a + run.index(LOST) + 1))):
-                a, b = a + run.index(LOST), a + run.index(LOST) + 1
-                left, after = _edges(text, a, b)
-                s = viterbi([None], "cp1252", model, left, after)
-                take(a, b, s if s and model.knows(left + s + after) else None)
+                found += _lost_word(text, x[0], model)
             continue
         if not free(a, b):
             continue
@@ -482,10 +558,17 @@ def find_damaged(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(shared.value)
+        kept: dict[str, list[tuple[int, int, str | None]]] = {}
         for pdf in frames:
             out = []
             for i, t in zip(pdf["row_id"], pdf["text"]):
-                if spans := damaged(t, model):
+                if t.isascii():
+                    continue
+                if (spans := kept.get(t)) is None:
+                    spans = damaged(t, model)
+                    if len(t) < 200 and len(kept) < 200_000:
+                        kept[t] = spans
+                if spans:
                     out.append((i, restore(t, spans), sum(s is None for *_, s in spans)))
             yield pd.DataFrame(out, columns=["row_id", "restored", "unrestored"])
 

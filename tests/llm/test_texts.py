@@ -17,10 +17,11 @@ def table():
     import numpy as np
 
     texts = CORPUS * 40
-    out = np.zeros(2 * M.BUCKETS, dtype="uint32")
+    out = np.zeros(2 * M.SPACE, dtype="uint32")
     for k, counter in enumerate((M.word_counts, K.pair_counts)):
         for u, n in counter(texts).items():
-            out[k * M.BUCKETS + M._bucket(u)] += n
+            for b in M._buckets(u):
+                out[k * M.SPACE + b] += n
     return out
 
 
@@ -29,7 +30,7 @@ PAIRS = [("cp1252", "utf-8"), ("latin-1", "utf-8"), ("gbk", "utf-8"), ("cp1251",
 
 @pytest.mark.parametrize("wrong,right", PAIRS)
 def test_round_trip(table, wrong, right):
-    model, tried = M.Model(table[: M.BUCKETS]), 0
+    model, tried = M.Model(table[: M.SPACE]), 0
     for text in CORPUS:
         try:
             bad = text.encode(right).decode(wrong)
@@ -47,7 +48,7 @@ def test_round_trip(table, wrong, right):
 
 
 def test_twice_wrong_lost_bytes_and_clean_texts(table):
-    model = M.Model(table[: M.BUCKETS])
+    model = M.Model(table[: M.SPACE])
     twice = CORPUS[0].encode().decode("cp1252").encode().decode("cp1252")
     assert M.restore(twice, M.damaged(twice, model)) == CORPUS[0]
     lost = "Viga met�lica ±0,5"
@@ -57,6 +58,65 @@ def test_twice_wrong_lost_bytes_and_clean_texts(table):
         assert M.damaged(text, model) == []
 
 
+def counted(texts):
+    import numpy as np
+
+    out = np.zeros(M.SPACE, dtype="uint32")
+    for u, n in M.word_counts(texts).items():
+        for b in M._buckets(u):
+            out[b] += n
+    return out
+
+
+@pytest.mark.parametrize("text,right", [("Größenänderung", "cp1252"), ("Fußböden", "utf-8"), ("控制柜温度", "gbk"), ("насосы", "cp1251"), ("분전반", "cp949")])
+def test_search_is_exact(text, right):
+    """Against all decodings of lattices with one or two lost bytes."""
+    from itertools import product
+
+    model = M.Model(counted([*CORPUS * 9, text, text[::-1], "Grüßenänderung", "Fußbäden"]))
+    data = list(text.encode(right))
+    spots = [i for i, b in enumerate(data) if b >= 0x80]
+    for lost in (spots[:1], spots[-1:], [spots[0], spots[-1]]):
+        holes = [None if i in lost else b for i, b in enumerate(data)]
+        best = None
+        for values in product(range(0x80, 0x100), repeat=len(lost)):
+            whole = bytearray(b or 0 for b in holes)
+            for i, x in zip(lost, values):
+                whole[i] = x
+            try:
+                s = bytes(whole).decode(right)
+            except UnicodeDecodeError:
+                continue
+            if s.isalpha() and (right == "cp1252" or len(s) == len(text)) and (best is None or model.score(s) > best + 1e-9):
+                best = model.score(s)
+        got = M.viterbi(holes, right, model)
+        if got is not None and best is not None:
+            assert model.score(got) >= best - 1e-6, (got, best)
+
+
+def test_more_than_three_lost_bytes_and_long_words():
+    long = "Donaudampfschifffahrtsgesellschaftskapitänsmützenüberprüfung"
+    model = M.Model(counted([*CORPUS * 9, long, "уплотнённый кабельный лоток"]))
+    holes = [None if b >= 0x80 else b for b in long.encode("cp1252")]
+    assert holes.count(None) == 4 and M.viterbi(holes, "cp1252", model) == long
+    bad = "".join(c if c < "\x80" else M.LOST for c in long)
+    assert M.restore(bad, M.damaged(bad, model)) == long
+    assert M._edges(f"x {long} y", 30, 31) == (long[:28], long[29:])
+
+
+def test_full_counters_do_not_make_every_word_known():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    table = rnd.poisson(40, M.SPACE).astype("uint32")
+    for b in M._buckets("насосы"):
+        table[b] += 5000
+    model = M.Model(table)
+    unseen = [f"слово{i}" for i in range(2000)]
+    assert model.knows("насосы") and sum(map(model.knows, unseen)) <= 0.03 * len(unseen)
+    assert M.Model(counted(["насосы"])).knows("насосы")
+
+
 def test_find_damaged(spark):
     good = [(i, t, "", 0, "") for i, t in enumerate(CORPUS * 30)]
     bad = [(1000, CORPUS[2].encode("gbk").decode("latin-1"), "", 0, ""), (1001, "x�y" * 3000, "", 0, ""), (1002, None, "", 0, ""), (1002, "", "", 0, "")]
