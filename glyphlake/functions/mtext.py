@@ -48,7 +48,7 @@ def strip_codes(raw: str | None, strict: bool = False) -> tuple[str | None, list
     text = FONT_GROUP.sub(group, raw)
     for shape in (STACK, STRICT_PARAMETER if strict else PARAMETER, SIMPLE, BRACES):
         text = shape.sub(lambda m: token(m[0]), text)
-    return re.sub(r"\\([\;])", r"\1", text), codes
+    return re.sub(r"\\([\\;])", r"\1", text), codes
 
 
 def escape(text: str) -> str:

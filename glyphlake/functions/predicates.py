@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # What counts as a number, unit, code, symbol and letter range.
@@ -111,12 +113,14 @@ class CleanConfig:
 
 
 def usable_patterns(patterns: tuple[str, ...]) -> list[str]:
-    """The skip patterns that compile; the others are ignored."""
+    """The skip patterns that compile where they are matched, on the JVM; the others are ignored."""
+    session = SparkSession.getActiveSession()
+    compile_ = session._jvm.java.util.regex.Pattern.compile if session is not None else re.compile
     good = []
     for p in patterns:
         try:
-            re.compile(p)
-        except re.error:
+            compile_(p)
+        except (re.error, Py4JJavaError, PySparkException):
             continue
         good.append(p)
     return good

@@ -31,9 +31,12 @@ class ExtractConfig:
     clean: CleanConfig = field(default_factory=CleanConfig)
 
 
-def _kind(df: DataFrame, rank: int, kind: str, handle: Column, raw: Column, layer: str, place: Column, **more: Column) -> DataFrame:
+def _kind(df: DataFrame, rank: int, kind: str, handle: Column, raw: Column, layer: str, place: Column | tuple[Column, ...], **more: Column) -> DataFrame:
+    """The rows of one kind; ``place`` orders them: the entity, and up to two places inside it."""
     extra = {"attribute_tag": F.lit(None).cast("string"), "table_row": F.lit(-1), "table_column": F.lit(-1)} | more
-    return df.select("path", F.lit(rank).alias("rank"), place.cast("bigint").alias("place"), handle.alias("handle"), F.lit(kind).alias("entity_type"), raw.alias("raw_original_text"), F.col(layer).alias("layer_name"), *[c.alias(n) for n, c in extra.items()])
+    within = [*(place if isinstance(place, tuple) else (place,)), F.lit(0), F.lit(0)][:3]
+    order = F.struct(*[p.cast("bigint").alias(f"p{i}") for i, p in enumerate(within)])
+    return df.select("path", F.lit(rank).alias("rank"), order.alias("place"), handle.alias("handle"), F.lit(kind).alias("entity_type"), raw.alias("raw_original_text"), F.col(layer).alias("layer_name"), *[c.alias(n) for n, c in extra.items()])
 
 
 def _or_line(handle: str, line: str) -> Column:
@@ -61,7 +64,7 @@ def extract_items(pairs: DataFrame, config: ExtractConfig = ExtractConfig()) ->
     if config.tables:
         c = N.cells(found, pairs).where("cell_type = 1")
         handle = F.concat("table_handle", F.lit("::R"), F.col("row").cast("string"), F.lit("::C"), F.col("column").cast("string"))
-        kinds.append(_kind(c, 3, "TableCell", handle, F.col("text"), "layer", F.col("entity") * 1_000_000 + F.col("row") * 1_000 + F.col("column"), table_row=F.col("row"), table_column=F.col("column")))
+        kinds.append(_kind(c, 3, "TableCell", handle, F.col("text"), "layer", (F.col("entity"), F.col("row"), F.col("column")), table_row=F.col("row"), table_column=F.col("column")))
     if config.leaders:
         kinds.append(_kind(N.leaders(found).where("content_type = 2"), 4, "MLeader", F.concat("handle", F.lit("::CTX")), F.col("text"), "layer", F.col("entity")))
     rows = kinds[0]
@@ -81,7 +84,7 @@ def paragraphs(mtext: DataFrame) -> DataFrame:
     parts = mtext.select("path", "entity", "handle", "layer", "line", F.posexplode(F.split("text", r"\\P")).alias("pos", "part")).where(~is_blank(F.col("part")))
     n = F.row_number().over(Window.partitionBy("path", "entity").orderBy("pos")) - 1
     numbered = parts.withColumn("n", n).withColumn("owner", _or_line("handle", "line"))
-    return _kind(numbered, 1, "MText", F.concat("owner", F.lit(":P"), F.col("n").cast("string")), F.col("part"), "layer", F.col("entity") * 1_000 + F.col("n"))
+    return _kind(numbered, 1, "MText", F.concat("owner", F.lit(":P"), F.col("n").cast("string")), F.col("part"), "layer", (F.col("entity"), F.col("n")))
 
 
 def merge_paragraphs(items: DataFrame) -> DataFrame:

@@ -17,9 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-# Byte order marks, the size of the sample that must be valid UTF-8, the fallback page, and what binary files start with.
+# Byte order marks, the fallback page, and what binary files start with.
 BOMS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
-SAMPLE_BYTES = 16 * 1024 * 1024
 FALLBACK = "gb18030"
 BINARY_DXF = b"AutoCAD Binary DXF\r\n\x1a\x00"
 DWG = re.compile(rb"^AC1[0-9]{3}|^AC[0-9]{4}")
@@ -43,9 +42,8 @@ def detect_encoding(data: bytes, fallback: str = FALLBACK) -> str:
     for bom, name in BOMS:
         if data.startswith(bom):
             return name
-    decoder = codecs.getincrementaldecoder("utf-8")()
     try:
-        decoder.decode(data[:SAMPLE_BYTES], final=len(data) <= SAMPLE_BYTES)
+        data.decode("utf-8")
     except UnicodeDecodeError:
         return fallback
     return "utf-8"

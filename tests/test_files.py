@@ -92,3 +92,22 @@ def test_overflowing_texts_are_scaled(spark, tmp_path):
         size[fit] = [(c.strip(), float(v)) for c, v in zip(lines[::2], lines[1::2]) if c.strip() in ("40", "41")]
     assert size[False] == [("40", 2.0), ("40", 2.0), ("41", 4.0)]
     assert [c for c, _ in size[True]] == ["40", "40", "41"] and size[True][0][1] == 1.3 and size[True][1][1] == 1.3 and size[True][2][1] != 4.0
+
+
+def test_encoding_is_decided_by_the_whole_file():
+    from glyphlake.sources import dxf
+
+    data = b"0\nTEXT\n1\nplain\n" * 1_200_000 + "电气设计".encode("gb18030")
+    assert len(data) > 16 * 1024 * 1024 and dxf.detect_encoding(data, "gb18030") == "gb18030"
+
+
+def test_local_folder_is_for_local_sessions_only():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from glyphlake import runtime
+
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://h:7077"), conf=SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.ensure_checkpoint_dir(cluster)

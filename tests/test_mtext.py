@@ -18,6 +18,16 @@ def test_round_trip(raw):
     assert M.restore_codes(*M.strip_codes(raw)) == raw
 
 
+def test_escaped_backslashes_and_semicolons():
+    assert M.strip_codes(r"a\\b")[0] == r"a\b" and M.strip_codes(r"a\;b")[0] == "a;b"
+    assert M.restore_codes(*M.strip_codes(r"a\\b")) == r"a\\b"
+
+
+@given(st.lists(st.sampled_from(["a", "你", " ", r"\\ ", r"\\-", r"\P", r"\H2.5;", "{", "}"])).map("".join))
+def test_round_trip_with_escapes(raw):
+    assert M.restore_codes(*M.strip_codes(raw)) == raw
+
+
 def test_strict_toggles_keep_text():
     assert "text" not in M.strip_codes(r"\Ltext; rest")[0]
     assert "text; rest" in M.strip_codes(r"\Ltext; rest", strict=True)[0]

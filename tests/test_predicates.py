@@ -58,3 +58,12 @@ def test_scalar_functions(spark):
     assert one(T.normalize_language(F.lit(" JP "))) == "ja" and one(T.source_language(F.lit("auto"), F.lit("en"))) == "zh"
     assert one(T.strip_quotes(F.lit('"a"b"'))) == 'a"b' and one(T.output_name(F.lit("d/x.dxf"), "_t")) == "d/x_t.dxf"
     assert one(T.layout_scale(F.lit(100.0), F.lit(50.0))) == 0.65 and one(T.layout_scale(F.lit(10.0), F.lit(50.0))) is None
+
+
+def test_skip_patterns_are_checked_where_they_are_matched(spark):
+    from pyspark.sql import functions as F
+
+    assert P.usable_patterns(("^NOTE:", "(", "(?P<n>x)", r"\p{IsHan}", "(?<n>x)")) == ["^NOTE:", r"\p{IsHan}", "(?<n>x)"]
+    df = spark.createDataFrame([("x",), ("电",), ("NOTE: a",)], "t string")
+    config = P.CleanConfig(target_lang="ja", skip_patterns=("(?P<n>x)", r"\p{IsHan}", "^NOTE:"))
+    assert [r[0] for r in df.select(P.filter_reason(F.col("t"), config)).collect()] == [None, "CustomSkip", "CustomSkip"]
