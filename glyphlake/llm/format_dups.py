@@ -86,7 +86,8 @@ def _join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
 def copies(df: DataFrame, key: str, text: str, within: list[str]) -> DataFrame:
     """``keep_id, dup_id``: each row that repeats the content of the row ``keep_id``, the smallest key of its group."""
     rows = df.select(F.col(key).alias("_id"), *[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)], content_fields(F.col(text)).alias("fields"))
-    rows = with_fingerprint(rows.where(F.size("fields") > 0))
+    # Grouping and comparing read the rows; they are normalized once.
+    rows = materialize(with_fingerprint(rows.where(F.size("fields") > 0)))
     by = [*[f"_w{i}" for i in range(len(within))], "fp"]
     groups = rows.groupBy(*by).agg(F.min("_id").alias("first_id"), F.max("_id").alias("last_id"), F.min_by("fields", "_id").alias("first")).where("first_id < last_id")
     same = same_multiset(F.col("fields"), F.col("first"))
