@@ -28,23 +28,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-#: Hash salts within a length; bounds the ranks one task makes of a frequent length.
-SALTS = 32
-#: Lengths that patterns of three and four documents are enumerated of, and steps of the least-squares fit.
+#: Documents of one length that one task ranks at most, on average; more are spread over hash salts.
+RANKED = 20_000
+#: Lengths that patterns of three and four documents are enumerated of, if no other number is given, and steps of the least-squares fit.
 COMMON, STEPS = 48, 200
 
 
-def patterns(hist: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
-    """Patterns of two to four lengths of the histogram that fill a container exactly."""
+def patterns(hist: np.ndarray, capacity: int, common: int | None = COMMON) -> list[tuple[int, ...]]:
+    """Patterns of two to four lengths of the histogram that fill a container exactly.
+
+    Those of three and four take two of their lengths from the ``common`` most
+    frequent ones (all lengths, if it is None).
+    """
     have = np.flatnonzero(hist[:capacity])
     out = {(capacity - a, a) for a in have.tolist() if a <= capacity - a and hist[capacity - a]}
-    common = sorted(have[np.argsort(-hist[have], kind="stable")][:COMMON].tolist())
-    for i, a in enumerate(common):
-        for j, b in enumerate(common[i:], i):
+    frequent = sorted(have[np.argsort(-hist[have], kind="stable")][:common].tolist())
+    for i, a in enumerate(frequent):
+        for j, b in enumerate(frequent[i:], i):
             c = capacity - a - b
             if 0 < c < capacity and hist[c]:
                 out.add(tuple(sorted((a, b, c), reverse=True)))
-            for d in common[j:]:
+            for d in frequent[j:]:
                 e = capacity - a - b - d
                 if e >= d and e < capacity and hist[e]:
                     out.add((e, d, b, a))
@@ -74,11 +78,11 @@ def fit(found: list[tuple[int, ...]], hist: np.ndarray) -> np.ndarray:
     return x
 
 
-def plan(hist: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+def plan(hist: np.ndarray, capacity: int, common: int | None = COMMON) -> list[tuple[int, dict[int, int]]]:
     """``(containers, {length: documents in each})`` that together hold every document of the histogram."""
     left = hist.astype(np.int64).copy()
     out: list[tuple[int, dict[int, int]]] = []
-    found = patterns(left, capacity)
+    found = patterns(left, capacity, common)
     x = np.floor(fit(found, left)).astype(np.int64) if found else np.zeros(0, dtype=np.int64)
     for k in np.argsort(-x, kind="stable").tolist():
         need: dict[int, int] = defaultdict(int)
@@ -125,11 +129,12 @@ def plan(hist: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
     return out + [c for room in sorted(by_room) for c in by_room[room]]
 
 
-def pack(sized: DataFrame, limits: DataFrame) -> DataFrame:
+def pack(sized: DataFrame, limits: DataFrame, common: int | None = COMMON) -> DataFrame:
     """``container, container_id, doc_id, piece_no, token_start, tokens, used, capacity``: the contents of every container.
 
     All documents of ``doc_id, tokens`` are packed once for each row of
-    ``container, capacity_tokens`` (one row per kind of container).
+    ``container, capacity_tokens`` (one row per kind of container); ``common``
+    is that of ``patterns``.
     """
     kinds = {r["container"]: int(r["capacity_tokens"]) for r in limits.where("capacity_tokens >= 1").select("container", "capacity_tokens").distinct().collect()}
     spark = sized.sparkSession
@@ -142,19 +147,22 @@ def pack(sized: DataFrame, limits: DataFrame) -> DataFrame:
         .select("container", "doc_id", "capacity", F.explode(F.sequence(F.lit(0), F.expr("cast(tokens div capacity as int) - 1"))).alias("piece_no"))
         .select("container", F.concat(F.lit("full-"), F.col("doc_id"), F.lit("-"), F.col("piece_no")).alias("container_id"), "doc_id", "piece_no", (F.col("piece_no").cast("long") * F.col("capacity")).alias("token_start"), F.col("capacity").cast("long").alias("tokens"), F.col("capacity").cast("long").alias("used"), "capacity")
     )
-    small = docs.where("rest > 0").select("container", "doc_id", "tokens", "capacity", "rest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    # At most capacity x SALTS rows of each kind, whatever the number of documents.
+    small = docs.where("rest > 0").select("container", "doc_id", "tokens", "capacity", "rest")
+    # The histograms have at most as many rows as the capacities are large; with the salts, one more for every RANKED documents.
+    hist = small.groupBy("container", "rest").agg(F.ceil(F.count(F.lit(1)) / RANKED).cast("int").alias("salts"))
+    small = small.join(F.broadcast(hist), ["container", "rest"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).drop("salts")
     counts = small.groupBy("container", "rest", "salt").agg(F.count(F.lit(1)).alias("n")).toPandas()
     offsets = counts.sort_values(["container", "rest", "salt"]).assign(first=lambda d: d.groupby(["container", "rest"])["n"].cumsum() - d["n"])
     # Of each kind: where the ranks of a length go. (start key, documents of the length per container, first container, used)
     plans: dict[str, tuple[np.ndarray, ...]] = {}
-    first_of = {(c, int(r), int(s)): int(f) for c, r, s, f in zip(offsets["container"], offsets["rest"], offsets["salt"], offsets["first"])}
+    # The first rank of each length and salt, by kind, under sorted keys.
+    first_of = {k: ((d["rest"].to_numpy(dtype="int64") << 32) + d["salt"].to_numpy(dtype="int64"), d["first"].to_numpy(dtype="int64")) for k, d in offsets.groupby("container")}
     for kind, capacity in kinds.items():
         hist = np.zeros(capacity + 1, dtype=np.int64)
         own = counts[counts["container"] == kind]
         np.add.at(hist, own["rest"].to_numpy(dtype="int64"), own["n"].to_numpy(dtype="int64"))
         entries, taken, base = [], np.zeros(capacity + 1, dtype=np.int64), 0
-        for times, need in plan(hist, capacity):
+        for times, need in plan(hist, capacity, common):
             used = sum(n * m for n, m in need.items())
             for n, m in need.items():
                 entries.append((n, int(taken[n]), m, base, used))
@@ -169,12 +177,14 @@ def pack(sized: DataFrame, limits: DataFrame) -> DataFrame:
     def place(kind: pd.Series, length: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.DataFrame:
         firsts, tables = shared.value
         no, used = np.zeros(len(kind), dtype=np.int64), np.zeros(len(kind), dtype=np.int64)
-        r = np.array([firsts[k] for k in zip(kind, length, salt)], dtype=np.int64) + rank.to_numpy(dtype="int64") - 1
+        lengths, salts, ranks = (x.to_numpy(dtype="int64") for x in (length, salt, rank))
         for k in kind.unique():
             at = np.flatnonzero((kind == k).to_numpy())
+            keys, first = firsts[k]
+            r = first[np.searchsorted(keys, (lengths[at] << 32) + salts[at])] + ranks[at] - 1
             keys, start, each, base, full_to = tables[k]
-            i = np.searchsorted(keys, (length.to_numpy(dtype="int64")[at] << 42) + r[at], side="right") - 1
-            no[at], used[at] = base[i] + (r[at] - start[i]) // each[i], full_to[i]
+            i = np.searchsorted(keys, (lengths[at] << 42) + r, side="right") - 1
+            no[at], used[at] = base[i] + (r - start[i]) // each[i], full_to[i]
         return pd.DataFrame({"no": no, "used": used})
 
     w = Window.partitionBy("container", "rest", "salt").orderBy("doc_id")

@@ -106,3 +106,11 @@ def test_token_counts(spark):
     assert got[1] == got[2] == 0 and got[3] == 2 and got[4] > 3000
     twice = spark.createDataFrame([(1, "a", "s", None), (1, "a", "s", None), (2, None, None, None)], "doc_id long, text string, source string, loaded_at timestamp")
     assert sorted(tuple(r) for r in sized_documents(twice).collect()) == [(1, "s", 1), (2, None, 0)]
+
+
+def test_salts_follow_the_count_of_a_length(spark, monkeypatch):
+    monkeypatch.setattr(K, "RANKED", 7)
+    docs = {i: 37 if i % 3 else 5 + i % 60 for i in range(600)}
+    packed = K.pack(spark.createDataFrame([(d, "s", n, 9, 9) for d, n in docs.items()], DOCS), spark.createDataFrame([("c", 128)], LIMITS), common=None).collect()
+    for _, n, least in check(packed, docs, {"c": 128}):
+        assert n <= 1.05 * least + 1
