@@ -76,6 +76,28 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p7_pack(spark, sf_dir))
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every kind of container: each document with text is in it once and whole, split only if it is larger."""
+    packed = p7_pack(spark, sf_dir)
+    filled = packed.groupBy("container", "container_id").agg((F.sum("tokens") > F.first("capacity")).alias("over"), (F.sum("tokens") != F.first("used")).alias("wrong"))
+    of = filled.groupBy("container").agg(F.count_if("over").alias("overfull"), F.count_if("wrong").alias("misreported"))
+    docs = packed.groupBy("container", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.countDistinct("piece_no").alias("kinds"), F.sum("tokens").alias("size"), F.max(F.col("token_start") + F.col("tokens")).alias("reach"), F.first("capacity").alias("capacity"))
+    broken = (F.col("size") != F.col("reach")) | (F.col("pieces") != F.col("kinds"))
+    split = (F.col("pieces") > 1) & (F.col("size") <= F.col("capacity"))
+    sums = docs.groupBy("container", F.col("capacity").alias("capacity_tokens")).agg(F.count(F.lit(1)).alias("documents"), F.count_if(broken).alias("broken"), F.count_if(split).alias("split_needlessly"))
+    return sums.join(of, "container")
+
+
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every source of the targets: only its own documents are used, none more often than its cap."""
+    targets = table(spark, sf_dir, "mix_targets").select("source", "max_repeats")
+    repeats = p8_repeats(spark, sf_dir).where("repeats > 0")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("own")).distinct()
+    of = repeats.join(docs, "doc_id").groupBy("source").agg(F.max("repeats").alias("most"), F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("foreign"), (F.count(F.lit(1)) - F.countDistinct("doc_id")).alias("twice"))
+    joined = targets.join(F.broadcast(of), "source", "left")
+    return joined.select("source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"), F.coalesce("foreign", F.lit(0)).alias("foreign"), F.coalesce("twice", F.lit(0)).alias("twice"))
+
+
 def p8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))[0]
 
@@ -88,5 +110,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p6_found": p6_found, "p6_counts": p6_counts, "p6_cleaned_counts": p6_cleaned_counts, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_repeats": p8_repeats, "p8_shares": p8_shares, "p9_found": p9_found}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p6_found": p6_found, "p6_counts": p6_counts, "p6_cleaned_counts": p6_cleaned_counts, "p7_pack": p7_pack, "p7_fill": p7_fill, "p7_checks": p7_checks, "p8_repeats": p8_repeats, "p8_shares": p8_shares, "p8_checks": p8_checks, "p9_found": p9_found}
+#: Results that must hold by the tables alone; what the operators make cannot be put in SQL.
+ORACLE = {
+    "p7_checks": "SELECT container, capacity_tokens, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS documents, 0 AS broken, 0 AS split_needlessly, 0 AS overfull, 0 AS misreported FROM pack_limits WHERE capacity_tokens >= 1",
+    "p8_checks": "SELECT source, true AS within_cap, 0 AS foreign, 0 AS twice FROM mix_targets",
+}
